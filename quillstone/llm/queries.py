@@ -6,24 +6,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup
+from . import exact_dup, line_dup, near_dup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dup.deduplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_exact_dedup": op2_exact_dedup,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    }
 
 
 WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"""
 
+FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 SQL = {
+    "op1_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i, l[i:i+2] AS k, len(l) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d)),
+u AS (SELECT *, first_value(doc_id) OVER o AS d0, first_value(i) OVER o AS i0 FROM w
+      WHERE NOT regexp_full_match(array_to_string(k, ''), '\s*') WINDOW o AS (PARTITION BY k ORDER BY doc_id, i)),
+r AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = d0 THEN greatest(i, i0 + 3) ELSE i END, i + 3)) AS j
+      FROM u WHERE (doc_id, i) <> (d0, i0)),
+x AS (SELECT doc_id, list(j) AS js FROM r GROUP BY doc_id),
+t AS (SELECT d.doc_id, len(l) AS n_lines, coalesce(len(js), 0) AS n_removed,
+      CASE WHEN js IS NULL THEN array_to_string(l, chr(10))
+           ELSE coalesce(array_to_string([l[i] FOR i IN range(1, len(l) + 1) IF NOT list_contains(js, i)], chr(10)), '') END AS text
+      FROM d LEFT JOIN x USING (doc_id))
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, text, sha256(text) AS text_sha256 FROM t""",
+    "op2_exact_dedup": f"""
+WITH d AS (SELECT doc_id, sha256({FOLD}) AS text_sha256, {FOLD} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (t)""",
+
     "op10_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
