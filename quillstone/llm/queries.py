@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dup, language_id, line_dup, near_dup, toxicity
+from . import bpe, embedding_dup, exact_dup, language_id, line_dup, near_dup, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,9 @@ def queries() -> dict:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
         "op4_bpe": op4_bpe,
+        "op5_quality": op5_quality,
         "op6_toxicity": op6_toxicity,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
@@ -77,6 +87,15 @@ WITH d AS (SELECT doc_id, sha256({FOLD}) AS text_sha256, {FOLD} AS t FROM docume
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (t)""",
 
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+      WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op10_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
