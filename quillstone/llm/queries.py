@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dup, exact_dup, language_id, line_dup, near_dup, quality, toxicity
+from . import bpe, embedding_dup, exact_dup, language_id, line_dup, mixing, near_dup, quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +43,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dup.embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_rates(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,7 +67,9 @@ def queries() -> dict:
         "op4_bpe": op4_bpe,
         "op5_quality": op5_quality,
         "op6_toxicity": op6_toxicity,
+        "op7_url_filter": op7_url_filter,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "op9_mixing": op9_mixing,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
