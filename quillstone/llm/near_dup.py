@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Texts, Words, connected_components, constants, discard, materialize, mix64, shingle_hashes, slices
@@ -34,6 +34,8 @@ LEAST_AGREE = max(1, math.floor(COORDINATES * THRESHOLD - 5 * math.sqrt(COORDINA
 #: Shingles that one comparison task may hold, about.
 NODE_WEIGHT = 300_000
 DEPTH = 5
+#: Document ids, 8 bytes each, that are broadcast to pick texts; more are joined.
+BROADCAST_IDS = 1_000_000
 TARGET_RECALL = 0.999
 #: Chance, from below, that one tree brings a pair at the threshold together.
 TREE_RECALL = 0.375
@@ -260,3 +262,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     placed = signed.select("doc_id", "n_shingles", "k1", "k2").join(folded.select("k1", "k2", "id").join(known, "id", "left").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.coalesce("comp", "id").alias("component_id")), (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component_id", "doc_id")
     return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _pick(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join on id; few ids, by count, are broadcast."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(few, F.col("doc_id").cast("long") == F.col("__id"), how)
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of near copies, that of the smallest doc_id.
+    Documents without words and rows without a doc_id stay. Of rows that repeat a
+    doc_id one stays, with the greatest text."""
+    judged = materialize(near_duplicates(docs, **options).select("doc_id", "n_shingles", "kept"), "judged")
+    gone = materialize(judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    again = judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    again = materialize(again, "again")
+    rest = _pick(docs, gone, "left_anti")
+    if again.isEmpty():
+        return rest
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
+    once = _pick(rest, again, "left_semi").withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
+    return _pick(rest, again, "left_anti").unionByName(once)

@@ -225,11 +225,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows whose score reaches their language's threshold, or
-    the fixed one where that is lower."""
+    PREDICT_AT where that is lower. Without labels of both kinds none goes."""
     usable = ~held_out(4, 2)
-    columns = docs.columns
     model = learn(docs, labels, usable)
+    if model is None:
+        return docs
     scored = materialize(toxicity_scores(docs, model, keep=("lang",)), "scores")
     thresholds = calibrate(scored, labels, usable)
-    again = toxicity_scores(docs, model, keep=tuple(c for c in columns if c != "doc_id"))
-    return judge(again, thresholds).where(~F.col("toxic") & (F.col("score") < PREDICT_AT)).select(columns)
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
+    shared = docs.sparkSession.sparkContext.broadcast((model, thresholds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, limits = shared.value
+        rest = limits.get(None, PREDICT_AT)
+        for batch in batches:
+            for a, b in slices(batch.column(text_at)):
+                part = batch.slice(a, b - a)
+                limit = np.array([min(PREDICT_AT, limits.get(x, rest)) for x in part.column(lang_at).to_pylist()])
+                yield part.filter(pa.array(score_texts(known, Texts(part.column(text_at))) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
