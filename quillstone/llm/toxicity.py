@@ -48,8 +48,9 @@ def _indices(texts: Texts) -> tuple[np.ndarray, np.ndarray, Words]:
     return (words.hash % np.uint64(BUCKETS)).astype(np.int32), (words.stem % np.uint64(BUCKETS)).astype(np.int32) + BUCKETS, words
 
 
-def fit(samples: list[tuple[str, int]], seed: int = 5) -> Model:
-    """samples: (text, 0 or 1). Both labels weigh the same in total."""
+def fit(samples: list[tuple[str, int]], prior: float = 0.5, seed: int = 5) -> Model:
+    """samples: (text, 0 or 1). Both labels weigh the same in training; scores are
+    then moved to the prior, the share of 1 among all labels."""
     rng = np.random.default_rng(seed)
     one, two, words = _indices(Texts(pa.array([t for t, _ in samples], pa.string())))
     y = np.array([label for _, label in samples], np.float64)
@@ -112,7 +113,7 @@ def fit(samples: list[tuple[str, int]], seed: int = 5) -> Model:
                 step(0, grad, rows)
     flat = np.concatenate([conv[k][j] for k, w in enumerate(WIDTHS) for j in range(w)], axis=1)
     table = (emb @ flat).astype(np.float32)
-    return Model([table[:BUCKETS], table[BUCKETS:]], np.concatenate(bias).astype(np.float32), out, float(base[0]))
+    return Model([table[:BUCKETS], table[BUCKETS:]], np.concatenate(bias).astype(np.float32), out, float(base[0]) + float(np.log(prior / (1 - prior))))
 
 
 def score_texts(model: Model, texts: Texts) -> np.ndarray:
@@ -177,7 +178,10 @@ def toxicity_scores(docs: DataFrame, model: Model | None, keep: tuple[str, ...]
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
     samples = training_sample(docs, labels, usable)
-    return fit(samples) if len({label for _, label in samples}) == 2 else None
+    if len({label for _, label in samples}) < 2:
+        return None
+    share = labels.where(F.col("toxic").isin(0, 1) & usable).agg(F.avg("toxic")).first()[0]
+    return fit(samples, prior=min(max(share, 0.01), 0.99))
 
 
 def calibrate(scored: DataFrame, labels: DataFrame, usable: Column) -> dict[str | None, float]:
