@@ -6,8 +6,9 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_SCHEMA = "code array<string>, comments array<string>"
+_SCHEMA = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("code", "comments")])
 _QUOTES = {True: "\"'", False: "\"'`"}
 
 

@@ -20,7 +20,7 @@ def month_axis(rows: DataFrame, month: str = "month") -> DataFrame:
     ends = rows.agg(F.min(month).alias("a"), F.max(month).alias("b")).where("a is not null")
     day = lambda c: F.to_date(F.concat(F.col(c), F.lit("-01")))
     steps = F.sequence(day("a"), day("b"), F.expr("interval 1 month"))
-    return ends.select(F.date_format(F.explode(steps), "yyyy-MM").alias(month))
+    return ends.select(F.explode(steps).alias("day")).select(F.date_format("day", "yyyy-MM").alias(month))
 
 
 def monthly(rows: DataFrame, names: Sequence[str], language: str | None = None) -> DataFrame:
