@@ -34,7 +34,8 @@ UNDETERMINED = "und"
 @dataclass
 class Model:
     languages: list[str]
-    symbol: np.ndarray  # class of each byte; 0: not seen in the fit
+    classes: int
+    symbol: np.ndarray  # class of each byte
     row: np.ndarray  # table row of the ORDER classes before a byte
     bits: np.ndarray  # code length, by row * K + class, and language
 
@@ -53,10 +54,10 @@ def fit(samples: list[tuple[str, bytes]]) -> Model:
     seen = np.zeros(256, bool)
     for _, text in samples:
         seen[_FOLD[np.frombuffer(text, np.uint8)]] = True
-    symbol = np.zeros(256, np.int64)
+    k = int(seen.sum()) + 2  # class 0 stands before a text's start, the last one for other bytes
+    symbol = np.full(256, k - 1, np.int64)
     symbol[np.flatnonzero(seen)] = np.arange(1, seen.sum() + 1)
     symbol = symbol[_FOLD]
-    k = int(seen.sum()) + 1
     counts: list[list[np.ndarray]] = []  # by language and order, over context * k + byte
     for lang in languages:
         own = []
@@ -80,7 +81,7 @@ def fit(samples: list[tuple[str, bytes]]) -> Model:
             shape = row.reshape(-1, k**order)  # contexts in their shorter form: the last classes
             shape[:, contexts] = base + np.arange(len(contexts), dtype=np.int32)
         base += len(contexts)
-    return Model(languages, symbol.astype(np.int32), row, np.concatenate(tables).reshape(-1, len(languages)).astype(np.float32))
+    return Model(languages, k, symbol.astype(np.int32), row, np.concatenate(tables).reshape(-1, len(languages)).astype(np.float32))
 
 
 def _lengths(orders: list[np.ndarray]) -> np.ndarray:
@@ -108,7 +109,7 @@ def code_lengths(model: Model, texts: Texts) -> np.ndarray:
     full = np.flatnonzero(size > 0)
     if not len(full):
         return out
-    k = int(model.symbol.max()) + 1
+    k = model.classes
     own = model.symbol[texts.data]
     before = np.zeros(len(own), np.int64)
     place = np.arange(len(own)) - np.repeat(texts.starts[full], size[full]) if size.sum() == len(own) else None
