@@ -21,11 +21,11 @@ def _windows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("body"), F.split(text, "\n", -1).alias("lines"))
     hashed = let(
-        F.transform("lines", lambda x: F.when(x.rlike(r"\S"), F.md5(x)).otherwise(F.lit(""))),
+        F.transform("lines", lambda x: F.concat(F.when(x.rlike(r"\S"), F.lit("x")).otherwise(F.lit("")), F.md5(x))),
         lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - SPAN + 1), lambda i: F.concat_ws(",", F.slice(h, i, SPAN))),
     )
     runs = lined.where(F.size("lines") >= SPAN).select("doc_id", "body", F.posexplode(hashed).alias("pos", "run"))
-    return runs.where(F.length("run") >= 32).select("doc_id", "body", "pos", F.unhex(F.md5("run")).alias("w"))
+    return runs.where(F.contains("run", F.lit("x"))).select("doc_id", "body", "pos", F.unhex(F.md5("run")).alias("w"))
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
