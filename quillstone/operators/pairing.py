@@ -49,8 +49,9 @@ def size_matched_pairs(ai: DataFrame, human: DataFrame, by: str = "repo", limit:
             }
         )
 
-    columns = [by, "id", "pos", "lines_changed"]
-    return ai.select(columns).groupBy(by).cogroup(human.select(columns).groupBy(by)).applyInPandas(run, f"{by} {kind}, pair_rank long, ai_id {id_kind}, human_id {id_kind}")
+    # fresh names, as both sides may come from one table
+    left, right = (side.select([F.col(c).alias(c) for c in (by, "id", "pos", "lines_changed")]) for side in (ai, human))
+    return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(run, f"{by} {kind}, pair_rank long, ai_id {id_kind}, human_id {id_kind}")
 
 
 def share_slice(pairs: DataFrame, keeps: DataFrame, by: str = "repo") -> DataFrame:
