@@ -105,16 +105,43 @@ def shingle_set(text: str, width: int = WIDTH, fold: dict | None = None) -> set:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def _near(i: int, mins: np.ndarray, size: np.ndarray, side: np.ndarray, percent: int, least: int) -> np.ndarray:
+    """Which of the rows after i may reach the threshold with it."""
+    rest = slice(i + 1, len(mins))
+    near = (mins[rest] == mins[i]).sum(axis=1) >= least
+    near &= 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
+    return near if side[i] else near & (side[rest] > 0)
+
+
+def _signed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    mins = np.asarray(table.column("mins").combine_chunks().flatten()).reshape(table.num_rows, -1)
+    return mins, np.asarray(table.column("n_shingles")), np.asarray(table.column("side"))
+
+
+def _candidates(percent: int, least: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The rows of one node that have a possible partner in another component;
+        the texts of the others needn't be fetched."""
+        mins, size, side = _signed(table)
+        comp, met = np.asarray(table.column("comp")), np.zeros(table.num_rows, bool)
+        for i in range(table.num_rows - 1):
+            near = _near(i, mins, size, side, percent, least) & (comp[i + 1 :] != comp[i])
+            if near.any():
+                met[i] = True
+                met[i + 1 :] |= near
+        return table.filter(pa.array(met))
+
+    return run
+
+
 def _compare(width: int, percent: int, least: int):
     def run(table: pa.Table) -> pa.Table:
         """Links of one node, as a forest over the components known before.
         side 1 rows meet each other and side 0 rows; side 0 rows don't meet."""
         ids = table.column("id").to_pylist()
         n = len(ids)
-        side = np.asarray(table.column("side"))
         texts = table.column("text")
-        mins = np.asarray(table.column("mins").combine_chunks().flatten()).reshape(n, -1)
-        size = np.asarray(table.column("n_shingles"))
+        mins, size, side = _signed(table)
         root, names = list(range(n)), {}
         for i, c in enumerate(table.column("comp").to_pylist()):
             root[i] = names.setdefault(c, i)
@@ -135,11 +162,7 @@ def _compare(width: int, percent: int, least: int):
 
         a, b = [], []
         for i in range(n - 1):
-            rest = slice(i + 1, n)
-            near = (mins[rest] == mins[i]).sum(axis=1) >= least
-            near &= 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
-            if not side[i]:
-                near &= side[rest] > 0
+            near = _near(i, mins, size, side, percent, least)
             for j in (np.flatnonzero(near) + i + 1).tolist():
                 x, y = find(i), find(j)
                 if x == y:
@@ -249,13 +272,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         tasks = light.select("key", "id", "comp", F.lit(1).alias("side"))
         if heavy is not None:
             tasks = tasks.union(_blocks(heavy, node_weight, turn == 0))
-        tasks = materialize(tasks, "tasks")
-        wanted = tasks.select("id").distinct()
-        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi")
-        rows = tasks.join(classes.select("id", "n_shingles", "mins"), "id").join(texts, "id")
-        found = materialize(rows.select("key", "id", "comp", "side", "n_shingles", "mins", "text").groupBy("key").applyInArrow(compare, "a long, b long"), "links")
+        columns = ["key", "id", "comp", "side", "n_shingles", "mins"]
+        rows = tasks.join(classes.select("id", "n_shingles", "mins"), "id").select(columns)
+        met = materialize(rows.groupBy("key").applyInArrow(_candidates(percent, LEAST_AGREE), rows.schema), "candidates")
+        wanted = materialize(met.select("id").distinct(), "wanted")
+        small = wanted.count() <= BROADCAST_IDS
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
+        found = materialize(met.join(texts, "id").select(*columns, "text").groupBy("key").applyInArrow(compare, "a long, b long"), "links")
         links = found if links is None else links.union(found)
-        discard(*used, tasks, *([known] if known is not None else []))
+        discard(*used, met, wanted, *([known] if known is not None else []))
         known = materialize(connected_components(links).select("id", F.col("component").alias("comp")), "known")
         spare.append(found)
     discard(*spare)
