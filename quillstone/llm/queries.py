@@ -108,10 +108,11 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM v JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id""",
     "op10_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
-n AS (SELECT doc_id, len(s) AS n FROM s),
-e AS (SELECT doc_id, unnest(s) AS g FROM s),
+t AS (SELECT doc_id, len(w) AS k, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT doc_id, i, k, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g
+      FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT DISTINCT doc_id, g FROM g WHERE i <= k - 4 UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT documents.doc_id, count(g) AS n FROM documents LEFT JOIN e USING (doc_id) GROUP BY 1),
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
