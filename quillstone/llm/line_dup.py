@@ -58,8 +58,9 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     marked = docs.select(*keep, F.xxhash64(text).alias("__body"))
+    # one plan for any size: the share of documents that lose lines isn't bounded
     joined = marked.join(
-        covered.select(F.col("doc_id").alias("__doc"), F.col("body").alias("__b"), F.col("gone").alias("__gone")),
+        covered.select(F.col("doc_id").alias("__doc"), F.col("body").alias("__b"), F.col("gone").alias("__gone")).hint("merge"),
         F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__body") == F.col("__b")), "left",
     )
     lines = F.split(F.col("text"), "\n", -1)
