@@ -1,72 +1,21 @@
-"""Shared pieces of the training-data operators: scratch tables, graph
-components, and whole-batch text arithmetic on Arrow buffers."""
+"""Shared pieces of the training-data operators: graph components, expressions,
+and whole-batch text arithmetic on Arrow buffers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialize
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_paths: dict[str, SparkSession] = {}
-
-
-# --------------------------------------------------------------- scratch tables
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or where that is
-    unset (single-machine tests) a fresh temporary folder."""
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillstone-")
-        spark.conf.set(key, found)
-    return found.rstrip("/")
-
-
-def _remove(path: str) -> None:
-    spark = _paths.pop(path, None)
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended; the cluster's folder outlives it
-        return
-
-
-@atexit.register
-def _remove_all() -> None:
-    for path in list(_paths):
-        _remove(path)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage
-    with files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillstone/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _paths[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete the files of materialized frames that nothing will read again."""
-    for df in frames:
-        if getattr(df, "_scratch", None):
-            _remove(df._scratch)
-
-
 # ------------------------------------------------------------------ expressions
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure-ASCII texts take the fast built-in."""
