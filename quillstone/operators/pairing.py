@@ -28,6 +28,15 @@ def match(ai: np.ndarray, human: np.ndarray) -> list[tuple[int, int]]:
     return pairs
 
 
+def pools(placed: DataFrame, limit: int, pool: int) -> tuple[DataFrame, DataFrame]:
+    """The first `limit` AI rows of each repo of placed(repo, label, pos), pos from
+    0 by repo and label, and `pool` times as many human rows."""
+    ai = placed.where((F.col("label") == "ai") & (F.col("pos") < limit))
+    size = ai.groupBy("repo").agg(F.count("*").alias("__ai"))
+    human = placed.where(F.col("label") == "human").join(size, "repo").where(F.col("pos") < F.col("__ai") * pool).drop("__ai")
+    return ai, human
+
+
 def size_matched_pairs(ai: DataFrame, human: DataFrame, by: str = "repo", limit: int = 5000) -> DataFrame:
     """(<by>, pair_rank, ai_id, human_id) from ai and human (<by>, id, pos,
     lines_changed). Greedy choice is sequential in a repo; a repo's rows on either

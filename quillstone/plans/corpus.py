@@ -42,9 +42,7 @@ def repo_pairs(rows: DataFrame, limit: int = CORPUS["rows_per_class_per_repo"],
     pair_rank. A repo with one side empty has none."""
     order = Window.partitionBy("repo", "label").orderBy(sampling.seeded(seed, F.col("sha")), "sha", "file_no")
     placed = rows.withColumn("id", F.concat_ws("\x1f", "sha", "file_no")).withColumn("pos", F.row_number().over(order).cast("long") - 1)
-    ai = placed.where((F.col("label") == "ai") & (F.col("pos") < limit))
-    size = ai.groupBy("repo").agg(F.count("*").alias("__ai"))
-    human = placed.where(F.col("label") == "human").join(size, "repo").where(F.col("pos") < F.col("__ai") * pool).drop("__ai")
+    ai, human = pairing.pools(placed, limit, pool)
     pairs = pairing.size_matched_pairs(ai, human, limit=limit * pool)
     both = pairs.select("repo", "pair_rank", F.explode(F.array(F.struct(F.lit("ai").alias("label"), F.col("ai_id").alias("id")), F.struct(F.lit("human").alias("label"), F.col("human_id").alias("id")))).alias("x"))
     return placed.join(both.select("repo", "pair_rank", "x.label", "x.id"), ["repo", "label", "id"]).drop("pos", "id")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import CLASS_NAMES
+from ..constants import CLASS_NAMES, CORPUS
 from ..functions.text_features import raw_features, with_features
 from ..ml import embed
 from ..operators import commits, diff, languages, metrics, pairing, prepare, sampling, scoring, timeline
@@ -150,9 +150,13 @@ def repo_share_cap(spark, sf_dir):
 
 
 def size_matched_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 40 = 0").select(F.col("l_returnflag").alias("repo"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), F.col("l_quantity").alias("lines_changed"), (_p_ai() > 0.5).alias("is_ai"))
-    rows = sampling.first_n(rows.withColumn("pos", F.xxhash64("id")), ["repo", "is_ai"], ["pos", "id"], 300)
-    return pairing.size_matched_pairs(rows.where("is_ai"), rows.where("not is_ai"))
+    """Suppliers are repositories: their number grows with the table. The row limit
+    of a repository is the only cap."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("repo"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), F.col("l_quantity").alias("lines_changed"), F.when(_p_ai() > 0.5, "ai").otherwise("human").alias("label"))
+    order = Window.partitionBy("repo", "label").orderBy(F.xxhash64("id"), "id", "lines_changed")
+    placed = rows.withColumn("pos", F.row_number().over(order).cast("long") - 1)
+    limit, pool = CORPUS["rows_per_class_per_repo"], CORPUS["human_pool_factor"]
+    return pairing.size_matched_pairs(*pairing.pools(placed, limit, pool), limit=limit * pool)
 
 
 COMMITS = [

@@ -105,3 +105,33 @@ def test_evenly_spaced(spark):
     rows = spark.range(10).select(F.col("id"))
     assert sorted(r[0] for r in sampling.evenly_spaced(rows, ["id"], 4).collect()) == [0, 2, 5, 7]
     assert sampling.evenly_spaced(rows, ["id"], 20).count() == 10
+
+
+def test_pairs_query_takes_whole_tables(spark, tmp_path):
+    """Against brute force: no key is left out, and the row limits are the only cap."""
+    from quillstone.constants import CORPUS
+    from quillstone.plans import queries
+
+    rng = random.Random(9)
+    many = 3 * CORPUS["rows_per_class_per_repo"] // 2
+    rows = [(n, 1, rng.randint(1, 999), supplier, float(n), float(rng.randint(1, 50))) for n, supplier in enumerate([1] * 2 * many + [2] * 40 + [3] * 7)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sides = {}
+    keyed = spark.createDataFrame([("-".join(map(str, r[:5])), *r[2:4], r[5]) for r in rows], "id string, part long, supplier long, size double")
+    for r in keyed.withColumn("h", F.xxhash64("id")).orderBy("h", "id").collect():
+        side = (r["part"] * 7919 + r["supplier"] * 31) % 1000 / 999 > 0.5
+        sides.setdefault((str(r["supplier"]), side), []).append((r["id"], r["size"]))
+    want = set()
+    for repo in "123":
+        ai = sides.get((repo, True), [])[: CORPUS["rows_per_class_per_repo"]]
+        human = sides.get((repo, False), [])[: len(ai) * CORPUS["human_pool_factor"]]
+        left = sorted((abs(math.log(x[1]) - math.log(y[1])), i, j) for i, x in enumerate(ai) for j, y in enumerate(human))
+        used_ai, used_human, rank = set(), set(), 0
+        for _, i, j in left:
+            if i not in used_ai and j not in used_human:
+                used_ai.add(i)
+                used_human.add(j)
+                rank += 1
+                want.add((repo, rank, ai[i][0], human[j][0]))
+    assert len(sides["1", True]) > CORPUS["rows_per_class_per_repo"]
+    assert {tuple(r) for r in queries.size_matched_pairs(spark, str(tmp_path)).collect()} == want
