@@ -147,6 +147,21 @@ def test_near_with_heavy_nodes(docs):
     check_near(docs, rows, node_weight=400, depth=2)
 
 
+def test_near_recall_where_all_levels_are_heavy(docs):
+    """Pairs exactly at the threshold, in nodes that stay heavy at each level."""
+    rows, n = [], 3000
+    for i in range(n):
+        common = [f"c{i}x{k}" for k in range(64)]
+        for side in (0, 1):
+            rows.append((2 * i + side, " ".join(common + [f"t{i}x{side}x{k}" for k in range(10)])))
+    a, b = (near_dup.shingle_set(rows[k][1]) for k in (0, 1))
+    assert 100 * len(a & b) == 75 * len(a | b)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(rows), node_weight=64).collect()}
+    assert all(got[x] in (x, x - x % 2) for x in got)
+    missed = sum(got[2 * i + 1] != 2 * i for i in range(n))
+    assert missed <= 0.001 * n, missed
+
+
 def test_near_edges(docs):
     assert near_dup.near_duplicates(docs([])).count() == 0
     got = near_dup.near_duplicates(docs([(None, "a b c d e f"), (5, "a b c d e f"), (5, "other words of the same id here"), (7, "a b c d e f")])).collect()
