@@ -6,10 +6,11 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .languages import language_predicate, require_labelled
+from .sampling import first_n
 
 
 def has_code(code: Column) -> Column:
@@ -93,15 +94,13 @@ def prepare(rows: DataFrame, names: Sequence[str], mapping: dict[str, str] | Non
         limit = cell_cap(cap, include if balance else ())
         spans = kept.groupBy("digest").agg(F.min(cell).alias("a"), F.max(cell).alias("b")).where("a <> b")
         if spans.isEmpty():
-            rank = F.row_number().over(Window.partitionBy(cell).orderBy("source_order", "pos"))
-            first = first.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+            first = first_n(first.withColumn("cell", cell), ["cell"], ["source_order", "pos"], limit).drop("cell")
         else:
             # a code's later rows in a cell never change the outcome, nor do those
             # beyond the codes that all cells can take: the fold's input is bounded
             cells = kept.select(cell.alias("cell")).distinct().count()
             narrow = kept.groupBy("digest", cell.alias("cell")).agg(F.min(F.struct("source_order", "pos")).alias("p")).select("p.source_order", "p.pos", "digest", "cell")
-            rank = F.row_number().over(Window.partitionBy("cell").orderBy("source_order", "pos"))
-            narrow = narrow.withColumn("rank", rank).where(F.col("rank") <= cells * limit).drop("rank").coalesce(1)
+            narrow = first_n(narrow, ["cell"], ["source_order", "pos"], cells * limit).coalesce(1)
             admitted = narrow.mapInPandas(_fold(limit), narrow.schema).select("source_order", "pos")
             first = kept.join(admitted, ["source_order", "pos"])
     return first.select("source_order", "pos", "code", label_of(F.col("cls"), names).alias("label"), "cls", "language")

@@ -3,9 +3,10 @@ of a seed and a key gives it, so results don't depend on partitioning."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .ranks import sums_before
@@ -22,8 +23,39 @@ def split_of(repo: Column, validation: int = 10, test: int = 15) -> Column:
 
 
 def first_n(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    """The first n rows of each group. A group is first cut down within each input
+    partition, then within 256 bundles of them, so that the task that sees what is
+    left of a group has 256 * n rows of it at most, however large the group."""
+    cut = rows.withColumn("__part", F.spark_partition_id()).withColumn("__bundle", F.col("__part") % 256)
+    for part in (["__bundle", "__part"], ["__bundle"], []):
+        rank = F.row_number().over(Window.partitionBy(*by, *part).orderBy(*order))
+        cut = cut.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    return cut.drop("__part", "__bundle")
+
+
+def collect_sample(rows: DataFrame, by: str, n: int, key: Column, late: Column | None = None, groups: int = 64) -> list[Row]:
+    """At most n rows of each of the `groups` largest groups (of equal ones, the
+    first by name), in the order of a 64-bit hash; late rows only where the others
+    don't suffice. Rows of equal key count once, so there may be fewer than n.
+
+    A group's size gives a bound of the hash below which n rows lie but for a
+    chance of 1e-12; only rows below it leave their task, so there is no sort and
+    no task holds a group. The driver gets groups * (n + slack) rows at most."""
+    span = 1 << 53
+    marked = rows.where(F.col(by).isNotNull()).withColumn("__key", key).withColumn("__late", F.lit(False) if late is None else late)
+    sizes = marked.groupBy(by).agg(F.count_if(~F.col("__late")).alias("a"), F.count_if("__late").alias("b"))
+    sizes = sizes.orderBy((F.col("a") + F.col("b")).desc(), by).limit(groups).collect()
+    if not sizes:
+        return []
+    most = n + 8 * math.sqrt(n) + 32
+    limits = [(r[by], min(1.0, most / max(r["a"], 1)), 0.0 if r["a"] >= n else min(1.0, most / max(r["b"], 1))) for r in sizes]
+    table = rows.sparkSession.createDataFrame(limits, f"__by {rows.schema[by].dataType.simpleString()}, __a double, __b double")
+    near = marked.join(F.broadcast(table), F.col(by) == F.col("__by"))  # a row a group, `groups` at most
+    near = near.where(F.pmod("__key", F.lit(span)) / span <= F.when(F.col("__late"), F.col("__b")).otherwise(F.col("__a")))
+    found: dict = {}
+    for r in near.drop("__by", "__a", "__b").dropDuplicates([by, "__key"]).collect():
+        found.setdefault(r[by], []).append(r)
+    return [r for g in sorted(found, key=str) for r in sorted(found[g], key=lambda r: (r["__late"], r["__key"] % span, r["__key"]))[:n]]
 
 
 def evenly_spaced(rows: DataFrame, order: Sequence[str], n: int, by: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +106,7 @@ def language_share(group_size: Column, max_share: float) -> Column:
 def reservoir(rows: DataFrame, by: Sequence[str], key: str, n: int, seed: int = 0, train: float = 0.8) -> DataFrame:
     """n rows a group in a seeded order, the first `train` of them for training."""
     w = Window.partitionBy(*by).orderBy(seeded(seed, F.col(key)), key)
-    picked = rows.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n)
+    picked = first_n(rows, by, [seeded(seed, F.col(key)), key], n).withColumn("__rank", F.row_number().over(w))
     size = F.count("*").over(Window.partitionBy(*by))
     return picked.withColumn("part", F.when(F.col("__rank") <= F.floor(size * F.lit(train)), "train").otherwise("test")).drop("__rank")
 
@@ -92,8 +124,7 @@ def holdout_sample(rows: DataFrame, per_source: int, languages: Sequence[str], s
 def limited_rows(rows: DataFrame, limit: int, seed: int, by: str = "repo", unit: str = "sha", order: Sequence[str] = ("file_pos",)) -> DataFrame:
     """Rows of units (commits) in a seeded order until limit rows are reached,
     the last unit cut short."""
-    w = Window.partitionBy(by).orderBy(seeded(seed, F.col(unit)), unit, *order)
-    return rows.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= limit).drop("__rank")
+    return first_n(rows, [by], [seeded(seed, F.col(unit)), unit, *order], limit)
 
 
 def audit_sample(rows: DataFrame, labels: Sequence[int], n: int = 15, width: int = 200, order: str = "pos") -> DataFrame:
