@@ -73,7 +73,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- batch arithmetic
 class Texts:
     """The UTF-8 bytes of a string column: data, and the start and end of each
-    row (null rows are empty)."""
+    row (null rows are empty). part: a piece of a longer row."""
+
+    part = False
 
     def __init__(self, column: pa.Array):
         if isinstance(column, pa.ChunkedArray):
@@ -88,11 +90,23 @@ class Texts:
             gone = ~np.asarray(column.is_valid())
             self.ends = np.where(gone, self.starts, self.ends)
 
+    @classmethod
+    def one(cls, data: np.ndarray) -> Texts:
+        """A piece of a single row."""
+        out = cls.__new__(cls)
+        out.part = True
+        out.data, out.starts, out.ends = data, np.zeros(1, np.int64), np.full(1, len(data), np.int64)
+        return out
+
     def __len__(self) -> int:
         return len(self.starts)
 
 
-def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 18
+
+
+def slices(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Row ranges of at most limit bytes of text each, one row at least."""
     sizes = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
     first, total = 0, 0
@@ -105,6 +119,45 @@ def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
+def _lead_of_words(data: np.ndarray, at: int, words: int) -> int:
+    """Bytes before `at`, which follows a word, that hold the last `words` words."""
+    back = 256
+    while True:
+        low = max(0, at - back)
+        inside = ~_SPACE[data[low:at]]
+        first = np.flatnonzero(inside & ~np.concatenate(([low > 0], inside[:-1])))  # a word cut at low doesn't count
+        if len(first) >= words:
+            return at - low - int(first[len(first) - words])
+        if low == 0:
+            return at
+        back *= 4
+
+
+def pieces(column: pa.Array, limit: int = PIECE, back: int = 0, words: int | None = None) -> Iterator[tuple[int, int, Texts, int]]:
+    """(a, b, texts, lead): the rows a..b of a column in pieces of about limit
+    bytes. A longer row comes in several pieces, one row each, of which the first
+    `lead` bytes were part of the piece before: `back` bytes, or, if `words` is
+    given, so many whole words; such pieces end between words."""
+    for a, b in slices(column, limit):
+        texts = Texts(column.slice(a, b - a))
+        n = len(texts.data)
+        if b - a > 1 or n <= limit:
+            yield a, b, texts, 0
+            continue
+        at = 0
+        while at < n:
+            end = min(at + limit, n)
+            while words is not None and end < n:
+                gap = np.flatnonzero(_SPACE[texts.data[end : end + limit]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end = min(end + limit, n)
+            lead = (min(back, at) if words is None else _lead_of_words(texts.data, at, words) if words else 0) if at else 0
+            yield a, b, Texts.one(texts.data[at - lead : end]), lead
+            at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -122,13 +175,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_BYTE = constants(256, 7)
-_POW = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)  # the first i bytes of eight
 
 
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a batch of texts, A-Z lower-cased, as
-    64-bit hashes in reading order; words of row i are lo[i]..hi[i]."""
+    64-bit hashes in reading order; words of row i are lo[i]..hi[i]. A word is
+    hashed by blocks of eight bytes, each mixed with its place before they are
+    added, so that no pattern of letters cancels out."""
 
     def __init__(self, texts: Texts, prefix: int = 0):
         data, n = texts.data, len(texts.data)
@@ -136,44 +190,47 @@ class Words:
         edge = np.zeros(n + 1, bool)
         edge[texts.starts] = True
         edge[texts.ends] = True
-        before = np.concatenate(([False], inside[:-1])) if n else inside
-        first = np.flatnonzero(inside & (~before | edge[:n]))
-        self.n = len(first)
+        begins = inside & edge[:n]
+        ends = inside & edge[1:]
+        if n:
+            begins[1:] |= inside[1:] & ~inside[:-1]
+            begins[0] = inside[0]
+            ends[:-1] |= inside[:-1] & ~inside[1:]
+            ends[-1] = inside[-1]
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.first, self.last, self.n = first, last, len(first)
         self.lo = np.searchsorted(first, texts.starts)
-        self.hi = np.searchsorted(first, texts.ends)
+        self.hi = np.maximum(np.searchsorted(first, texts.ends), self.lo)
         if not self.n:
             self.hash, self.stem = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             return
-        at = np.flatnonzero(inside)
-        begin = np.searchsorted(at, first)
-        length = np.diff(np.append(begin, len(at)))
-        place = np.arange(len(at)) - np.repeat(begin, length)
-        folded = _BYTE[_FOLD[data[at]]]
-        long = place >= len(_POW)
-        power = _POW[np.minimum(place, len(_POW) - 1)]
-        if long.any():  # words beyond the table: their places enter by a mix
-            power[long] = mix64(place[long].astype(np.uint64)) | np.uint64(1)
-        values = folded * power
-        self.hash = mix64(np.add.reduceat(values, begin) + length.astype(np.uint64))
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = _FOLD[data]
+        eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+        size = last - first
+        count = (size + 7) >> 3
+        at = np.cumsum(count) - count
+        step = np.arange(int(count.sum())) - np.repeat(at, count)
+        value = eight[np.repeat(first, count) + 8 * step] & _KEEP[np.minimum(np.repeat(size, count) - 8 * step, 8)]
+        mixed = mix64(value + (step + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.hash = mix64(np.add.reduceat(mixed, at) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         if prefix:
-            values[place >= prefix] = 0
-            self.stem = mix64(np.add.reduceat(values, begin) + np.uint64(0x5DEECE66D))
+            self.stem = mix64((value[at] & _KEEP[np.minimum(size, prefix)]) + np.uint64(0x5DEECE66D))
 
 
-def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of each run of `width` words; a row with fewer words, but
-    some, has its whole sequence as one. Returns hashes, and per row lo and hi."""
-    count = words.hi - words.lo
-    short = (count > 0) & (count < width)
-    n = np.where(short, 1, np.maximum(count - width + 1, 0))
+def shingle_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of each run of `width` words, of rows whose word hashes stand
+    from begin to end; a row with fewer words, but some, has its whole sequence as
+    one. Returns hashes, and per row lo and hi."""
+    count = end - begin
+    n = np.where((count > 0) & (count < width), 1, np.maximum(count - width + 1, 0))
     hi = np.cumsum(n)
     lo = hi - n
     row = np.repeat(np.arange(len(n)), n)
-    at = words.lo[row] + (np.arange(len(row)) - lo[row])
-    size = np.where(short, count, width)[row]
+    at = begin[row] + (np.arange(len(row)) - lo[row])
+    size = np.minimum(count, width)[row]
     acc = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for j in range(width):
-        use = size > j
-        h = words.hash[np.minimum(at + j, max(words.n - 1, 0))] if words.n else np.zeros(len(row), np.uint64)
-        acc = np.where(use, mix64(acc + h + np.uint64(j + 1)), acc)
+    for j in range(width if len(row) else 0):
+        h = hashes[np.minimum(at + j, len(hashes) - 1)]
+        acc = np.where(size > j, mix64(acc + h + np.uint64(j + 1)), acc)
     return acc, lo, hi

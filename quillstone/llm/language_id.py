@@ -7,9 +7,11 @@ context; a context that has not seen the byte pays its escape probability
 excluded. Below order zero all 256 bytes are equal. A text's code length in a
 language is the sum over all of its bytes; the shortest wins.
 
-As the statistics are frozen, the code length of a byte after a context is a
-constant. These constants are tabulated once for each known context, so scoring
-is two table reads a byte.
+Statistics are sparse: sorted arrays of the contexts and of the (context, byte)
+pairs that occur. What a shorter context has left once the longer one's bytes
+are excluded is a constant of the longer one and kept with it, so a code length
+takes two binary searches an order. A piece of text looks up each of its distinct
+runs of ORDER + 1 bytes once.
 """
 
 from __future__ import annotations
@@ -18,125 +20,150 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, Texts, slices
+from ..operators.sampling import collect_sample
+from .common import _FOLD, Texts, pieces
 
 ORDER = 3
-#: The fit reads at most this many documents a language, each of at most FIT_BYTES.
+#: The fit reads at most this many documents a language, short ones first; of a
+#: document with more than FIT_BYTES characters, a run of that length at a hashed place.
 FIT_DOCS = 256
 FIT_BYTES = 8192
+#: The languages learnt, those with the most documents; others aren't predicted.
+LANGUAGES = 64
 UNDETERMINED = "und"
+BASE = 257
+START = 256  # stands before a text's start
+
+
+@dataclass
+class Level:
+    """Contexts of one order."""
+
+    contexts: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    left_total: np.ndarray  # of the next shorter context, without the bytes seen here
+    left_kinds: np.ndarray
+    pairs: np.ndarray  # context * BASE + byte
+    counts: np.ndarray
 
 
 @dataclass
 class Model:
     languages: list[str]
-    classes: int
-    symbol: np.ndarray  # class of each byte
-    row: np.ndarray  # table row of the ORDER classes before a byte
-    bits: np.ndarray  # code length, by row * K + class, and language
-
-
-def _codes(symbols: np.ndarray, k: int, order: int) -> np.ndarray:
-    """Number of the `order` classes that end at each place of a padded text."""
-    n = len(symbols) - ORDER
-    out = np.zeros(n, np.int64)
-    for j in range(order, 0, -1):
-        out = out * k + symbols[ORDER - j : ORDER - j + n]
-    return out
+    levels: list[list[Level]]  # by language, then order
+
+
+def runs(texts: Texts, lead: int = 0) -> np.ndarray:
+    """For each byte the number of the ORDER symbols before it and itself. The
+    first lead bytes only stand before others."""
+    data = _FOLD[texts.data].astype(np.int64)
+    size = texts.ends - texts.starts
+    place = np.arange(len(data)) - np.repeat(texts.starts[size > 0], size[size > 0])
+    out = np.zeros(len(data), np.int64)
+    for j in range(ORDER, -1, -1):
+        symbol = np.full(len(data), START)
+        symbol[j:] = data[: len(data) - j]
+        symbol[place < j] = START
+        out = out * BASE + symbol
+    return out[lead:]
+
+
+def _level(codes: np.ndarray, counts: np.ndarray, shorter: Level | None, span: int) -> Level:
+    contexts, at = np.unique(codes // BASE, return_index=True)
+    total, kinds = np.add.reduceat(counts, at), np.diff(np.append(at, len(codes)))
+    left_total = left_kinds = np.zeros(len(contexts), np.int64)
+    if shorter is not None:
+        same = shorter.counts[np.searchsorted(shorter.pairs, codes % (span // BASE))]
+        own = np.searchsorted(shorter.contexts, contexts % (span // BASE**2))
+        left_total = shorter.total[own] - np.add.reduceat(same, at)
+        left_kinds = shorter.kinds[own] - kinds
+    return Level(contexts, total, kinds, left_total, left_kinds, codes, counts)
 
 
 def fit(samples: list[tuple[str, bytes]]) -> Model:
     languages = sorted({lang for lang, _ in samples})
-    seen = np.zeros(256, bool)
-    for _, text in samples:
-        seen[_FOLD[np.frombuffer(text, np.uint8)]] = True
-    k = int(seen.sum()) + 2  # class 0 stands before a text's start, the last one for other bytes
-    symbol = np.full(256, k - 1, np.int64)
-    symbol[np.flatnonzero(seen)] = np.arange(1, seen.sum() + 1)
-    symbol = symbol[_FOLD]
-    counts: list[list[np.ndarray]] = []  # by language and order, over context * k + byte
+    levels = []
     for lang in languages:
-        own = []
-        parts = [np.concatenate((np.zeros(ORDER, np.int64), symbol[np.frombuffer(t, np.uint8)])) for x, t in samples if x == lang]
+        texts = Texts(pa.array([t for x, t in samples if x == lang], pa.binary()))
+        codes, counts = np.unique(runs(texts), return_counts=True)
+        own: list[Level] = []
         for order in range(ORDER + 1):
-            total = np.zeros(k ** (order + 1), np.float32)
-            for p in parts:
-                at, n = np.unique(_codes(p, k, order) * k + p[ORDER:], return_counts=True)
-                total[at] += n
-            own.append(total.reshape(-1, k))
-        counts.append(own)
-    known = [np.flatnonzero(sum(c[order].sum(axis=1) for c in counts) > 0) for order in range(ORDER + 1)]
-    row = np.zeros(k**ORDER, np.int32)
-    tables, base = [], 0
-    for order in range(ORDER + 1):
-        contexts = known[order]
-        if not order:
-            contexts = np.zeros(1, np.int64)
-        tables.append(np.stack([_lengths([c[o][contexts % (k**o)] for o in range(order, -1, -1)]) for c in counts], axis=2))
-        if order:
-            shape = row.reshape(-1, k**order)  # contexts in their shorter form: the last classes
-            shape[:, contexts] = base + np.arange(len(contexts), dtype=np.int32)
-        base += len(contexts)
-    return Model(languages, k, symbol.astype(np.int32), row, np.concatenate(tables).reshape(-1, len(languages)).astype(np.float32))
-
-
-def _lengths(orders: list[np.ndarray]) -> np.ndarray:
-    """Code lengths in bits, by context and class. orders: counts from the
-    longest context down to order zero."""
-    spent = np.zeros(orders[0].shape, np.float64)
-    out = np.zeros_like(spent)
-    open_ = np.ones(spent.shape, bool)
-    for count in orders:
-        left = np.where(open_, count, 0)
-        n, kinds = left.sum(axis=1, keepdims=True), (left > 0).sum(axis=1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            hit = left > 0
-            out = np.where(hit, spent - np.log2(left / (n + kinds)), out)
-            spent = np.where(n > 0, spent - np.log2(kinds / (n + kinds)), spent)
-        open_ &= ~hit
-    rest = 256 - (~open_).sum(axis=1, keepdims=True)
-    return np.where(open_, spent + np.log2(rest), out)
-
-
-def code_lengths(model: Model, texts: Texts) -> np.ndarray:
+            span = BASE ** (order + 1)
+            pairs, at = np.unique(codes % span, return_inverse=True)
+            own.append(_level(pairs, np.bincount(at, counts, len(pairs)).astype(np.int64), own[-1] if own else None, span))
+        levels.append(own)
+    return Model(languages, levels)
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
+def _bits(levels: list[Level], codes: np.ndarray) -> np.ndarray:
+    """Code lengths of the last bytes of runs."""
+    bits = np.zeros(len(codes))
+    left = np.ones(len(codes), bool)
+    longer = np.zeros(len(codes), bool)
+    total = kinds = np.zeros(len(codes), np.int64)
+    for order in range(ORDER, -1, -1):
+        level = levels[order]
+        pair = codes % BASE ** (order + 1)
+        at, known = _find(level.contexts, pair // BASE)
+        total = np.where(longer, total, np.where(known, level.total[at], 0))
+        kinds = np.where(longer, kinds, level.kinds[at])
+        one, seen = _find(level.pairs, pair)
+        live = left & (total > 0)
+        hit = live & seen
+        miss = live & ~seen
+        bits[hit] += np.log2((total + kinds)[hit] / level.counts[one[hit]])
+        bits[miss] += np.log2((total + kinds)[miss] / kinds[miss])
+        left &= ~hit
+        total, kinds, longer = level.left_total[at], level.left_kinds[at], known
+    bits[left] += np.log2(max(256 - len(levels[0].pairs), 1))
+    return bits
+
+
+def code_lengths(model: Model, texts: Texts, lead: int = 0) -> np.ndarray:
     """Bits of each text in each language."""
-    size = texts.ends - texts.starts
+    size = texts.ends - texts.starts - lead
     out = np.zeros((len(texts), len(model.languages)))
     full = np.flatnonzero(size > 0)
     if not len(full):
         return out
-    k = model.classes
-    own = model.symbol[texts.data]
-    before = np.zeros(len(own), np.int64)
-    place = np.arange(len(own)) - np.repeat(texts.starts[full], size[full]) if size.sum() == len(own) else None
-    for j in range(ORDER, 0, -1):
-        shifted = np.zeros(len(own), np.int64)
-        shifted[j:] = own[:-j] if j < len(own) else []
-        shifted[place < j] = 0
-        before = before * k + shifted
-    each = np.take(model.bits, model.row[before].astype(np.int64) * k + own, axis=0)
-    out[full] = np.add.reduceat(each, texts.starts[full], axis=0, dtype=np.float64)
+    which, codes = pd.factorize(runs(texts, lead))
+    for k, levels in enumerate(model.levels):
+        out[full, k] = np.add.reduceat(_bits(levels, codes)[which], texts.starts[full])
     return out
 
 
+def sampled_text(text: Column, key: Column, most: int) -> Column:
+    """A text of at most `most` characters: all of a shorter one, else a run at a
+    place that the key gives."""
+    n = F.length(text)
+    return F.when(n <= most, text).otherwise(F.substring(text, (1 + F.pmod(key, n - most)).cast("int"), F.lit(most)))
+
+
 def training_sample(docs: DataFrame, usable: Column, docs_per_language: int = FIT_DOCS) -> list[tuple[str, bytes]]:
-    size = F.octet_length("text")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    rows = docs.select("doc_id", "text", "lang").where(usable & F.col("lang").isNotNull() & (size > 0) & (size <= FIT_BYTES))
-    rows = rows.withColumn("r", rank).where(F.col("r") <= docs_per_language).select("lang", "text").orderBy("lang", "text").collect()
-    return [(r["lang"], r["text"].encode()) for r in rows]
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(usable & (F.octet_length("text") > 0))
+    key = F.xxhash64("doc_id", "text")
+    rows = rows.select("lang", key.alias("hash"), (F.length("text") > FIT_BYTES).alias("long"), sampled_text(F.col("text"), key, FIT_BYTES).alias("text"))
+    return [(r["lang"], r["text"].encode()) for r in collect_sample(rows, "lang", docs_per_language, F.col("hash"), F.col("long"), LANGUAGES)]
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs(doc_id, text) to doc_id, lang_pred, score. score is the posterior of
     the predicted language, all being equally likely beforehand; ties go to the
     first in alphabetical order. Null texts, texts without a letter and, without a
-    model (nothing to learn from), all texts are `und` with score 0. Rows stand
-    for themselves; extra columns are ignored; an empty table gives no rows.
+    model (nothing to learn from), all texts are `und` with score 0. Texts of any
+    length are read in pieces. Rows stand for themselves, so repeated rows and null
+    ids do no harm; extra columns are ignored; an empty table gives no rows.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
@@ -148,19 +175,15 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         m = shared.value
         names = np.array([*m.languages, UNDETERMINED], object)
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                bits = code_lengths(m, Texts(batch.column(1).slice(a, b - a)))
-                letters = np.asarray(batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False))
-                best = bits.argmin(axis=1)
-                score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(names[np.where(letters, best, -1)], pa.string()),
-                        pa.array(np.where(letters, score, 0.0)),
-                    ],
-                    ["doc_id", "lang_pred", "score"],
-                )
+            bits = np.zeros((batch.num_rows, len(m.languages)))
+            for a, b, texts, lead in pieces(batch.column(1), back=ORDER):
+                bits[a:b] += code_lengths(m, texts, lead)
+            letters = np.asarray(batch.column(2).to_numpy(zero_copy_only=False))
+            score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names[np.where(letters, bits.argmin(axis=1), -1)], pa.string()), pa.array(np.where(letters, score, 0.0))],
+                ["doc_id", "lang_pred", "score"],
+            )
 
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
