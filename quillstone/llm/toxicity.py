@@ -3,8 +3,9 @@
 A word's vector is the sum of two hashed embeddings, of the word and of its
 first STEM bytes. Filters one, two and three words wide slide over the text;
 each keeps its largest response; a logistic layer scores these. Training reads a
-bounded sample of labelled documents. Decision thresholds are calibrated for each
-language on labelled scores; the language itself never enters a score.
+bounded sample of four fifths of the labelled documents. Decision thresholds are
+calibrated for each language on the scores of the other fifth, all of it; the
+language itself never enters a score.
 """
 
 from __future__ import annotations
@@ -14,25 +15,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Texts, Words, materialize, slices
-from .language_id import held_out
+from ..operators.sampling import collect_sample
+from .common import Texts, Words, discard, materialize, pieces
+from .language_id import held_out, sampled_text
 
 BUCKETS = 1 << 15
 STEM = 4
 DIMENSIONS = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 12
-#: Training reads at most so many documents of each label, none above FIT_BYTES.
+#: Training reads at most so many documents of each label, short ones first; of a
+#: document with more than FIT_BYTES characters, a run of that length at a hashed place.
 FIT_DOCS = 2000
 FIT_BYTES = 8192
+#: One labelled document in so many is kept from training, for the thresholds.
+CALIBRATION_SHARE = 5
 EPOCHS, BATCH, RATE = 6, 32, 0.08
 PREDICT_AT = 0.3
 BINS = 1000
-#: A language with fewer labelled toxic documents takes the pooled threshold.
+#: A language with fewer labelled toxic documents for calibration takes the pooled
+#: threshold, as do all but the LANGUAGES with the most of them.
 LEAST_POSITIVE = 20
+LANGUAGES = 64
 
 
 @dataclass
@@ -116,7 +124,8 @@ def fit(samples: list[tuple[str, int]], prior: float = 0.5, seed: int = 5) -> Mo
     return Model([table[:BUCKETS], table[BUCKETS:]], np.concatenate(bias).astype(np.float32), out, float(base[0]) + float(np.log(prior / (1 - prior))))
 
 
-def score_texts(model: Model, texts: Texts) -> np.ndarray:
+def responses(model: Model, texts: Texts) -> np.ndarray:
+    """The largest response of each filter, by text."""
     one, two, words = _indices(texts)
     pooled = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32)
     if words.n:
@@ -136,21 +145,49 @@ def score_texts(model: Model, texts: Texts) -> np.ndarray:
                 u[left < w] = 0
             pooled[full, k * FILTERS : (k + 1) * FILTERS] = np.maximum(0, np.maximum.reduceat(u, words.lo[full], axis=0))
             block += w
+    return pooled
+
+
+def score_column(model: Model, column: pa.Array) -> np.ndarray:
+    """Scores of whole texts. A long one is read in pieces that overlap by as many
+    words as a filter can reach back; its responses are the largest of theirs."""
+    pooled = np.zeros((len(column), len(WIDTHS) * FILTERS), np.float32)
+    for a, b, texts, _ in pieces(column, words=max(WIDTHS) - 1):
+        pooled[a:b] = np.maximum(pooled[a:b], responses(model, texts))
     return 1 / (1 + np.exp(-np.clip(pooled @ model.out + model.base, -30, 30)))
 
 
+def _known(labels: DataFrame, usable: Column) -> DataFrame:
+    """(doc_id, toxic): null labels and ids don't count, and a document labelled
+    twice is toxic if either label says so."""
+    return labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def for_calibration() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(29)), F.lit(CALIBRATION_SHARE)) == 0
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, each: int = FIT_DOCS) -> list[tuple[str, int]]:
-    """At most `each` labelled documents of either label, in the order of a hash
-    of the id, from twice as many candidate labels; null labels don't count, and a
-    document labelled twice counts as toxic if either label says so."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rank = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    wanted = known.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= 2 * each).select("doc_id", "toxic")
-    size = F.octet_length("text")
-    # at most 4 * FIT_DOCS rows: bounded, so fit for broadcasting
-    rows = docs.select("doc_id", "text").where((size > 0) & (size <= FIT_BYTES)).join(F.broadcast(wanted), "doc_id")
-    rows = rows.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= each).select("doc_id", "text", "toxic").collect()
-    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    """At most `each` labelled documents of either label, in the order of a hash of
+    the id. Some more labels are drawn, as their documents may be missing or empty.
+    Repeated rows count once."""
+    drawn = collect_sample(_known(labels, usable & ~for_calibration()), "toxic", each + each // 4, F.xxhash64("doc_id"))
+    if len({r["toxic"] for r in drawn}) < 2:
+        return []
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in drawn], "__id long, toxic int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") > 0)
+    rows = rows.join(F.broadcast(wanted), F.col("doc_id") == F.col("__id"))  # 2.5 * FIT_DOCS rows at most
+    key = F.xxhash64("doc_id", "text")
+    rows = rows.select("doc_id", "toxic", key.alias("hash"), (F.length("text") > FIT_BYTES).alias("long"), sampled_text(F.col("text"), key, FIT_BYTES).alias("text"))
+    return [(r["text"], r["toxic"]) for r in collect_sample(rows, "toxic", each, F.col("hash"), F.col("long"))]
+
+
+def _scorer(model: Model | None, spark):
+    """The function of a batch and the place of its text column that scores it."""
+    if model is None:
+        return lambda batch, at: np.zeros(batch.num_rows)
+    shared = spark.sparkContext.broadcast(model)
+    return lambda batch, at: score_column(shared.value, batch.column(at)).astype(np.float64)
 
 
 def toxicity_scores(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -160,19 +197,13 @@ def toxicity_scores(docs: DataFrame, model: Model | None, keep: tuple[str, ...]
     Rows stand for themselves; an empty table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    if model is None:
-        scored = rows.select("doc_id", F.lit(0.0).alias("score"), *keep)
-    else:
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b in slices(batch.column(1)):
-                    part = batch.slice(a, b - a)
-                    score = score_texts(shared.value, Texts(part.column(1)))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score.astype(np.float64)), *part.columns[2:]], ["doc_id", "score", *keep])
-
-        scored = rows.mapInArrow(run, "doc_id long, score double" + kinds)
+    score = _scorer(model, docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch, 1)), *batch.columns[2:]], ["doc_id", "score", *keep])
+
+    scored = rows.mapInArrow(run, "doc_id long, score double" + kinds)
     return scored.select("doc_id", "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"), *keep)
 
 
@@ -186,19 +217,21 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Model | None:
 
 def calibrate(scored: DataFrame, labels: DataFrame, usable: Column) -> dict[str | None, float]:
     """Thresholds by language, None for all others: the bin edge with the best F1
-    over labelled scores, the middle one of equally good neighbours. Reads one
-    count a language, label and score bin."""
-    known = labels.where(F.col("toxic").isin(0, 1) & usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    over the scores of labelled documents that the fit didn't see, the middle one
+    of equally good neighbours. Reads a count a label and score bin, for each of at
+    most LANGUAGES languages."""
+    known = _known(labels, usable & for_calibration())
     bins = F.least(F.lit(BINS - 1), F.floor(F.col("score") * BINS)).cast("int")
-    rows = scored.join(known, "doc_id").groupBy("lang", "toxic", bins.alias("bin")).count().collect()
+    counted = materialize(scored.select("doc_id", "lang", bins.alias("bin")).join(known, "doc_id").groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")), "bins")
+    positive = counted.where("toxic = 1 and lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_POSITIVE)
+    enough = positive.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).select("lang")
+    pooled = counted.groupBy("toxic", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "toxic", "bin", "n")
     tables: dict[str | None, np.ndarray] = {None: np.zeros((2, BINS))}
-    for r in rows:
-        for lang in {r["lang"], None}:
-            tables.setdefault(lang, np.zeros((2, BINS)))[r["toxic"], r["bin"]] += r["count"]
+    for r in counted.join(F.broadcast(enough), "lang").select("lang", "toxic", "bin", "n").union(pooled).collect():
+        tables.setdefault(r["lang"], np.zeros((2, BINS)))[r["toxic"], r["bin"]] += r["n"]
+    discard(counted)
     found = {}
     for lang, t in tables.items():
-        if lang is not None and t[1].sum() < LEAST_POSITIVE:
-            continue
         above = t[:, ::-1].cumsum(axis=1)[:, ::-1]
         f1 = 2 * above[1] / np.maximum(above[0] + above[1] + t[1].sum(), 1)
         best = np.flatnonzero(f1 == f1[1:].max())
@@ -220,7 +253,9 @@ def judge(scored: DataFrame, thresholds: dict[str | None, float]) -> DataFrame:
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all documents from a model and thresholds that never see the held
     out labels (crc32 of doc_id mod 4 is 2): doc_id, held_out, score, predicted,
-    threshold, toxic."""
+    threshold, toxic. Null texts count as empty; rows with a null doc_id are scored
+    and never learnt from; repeated rows get equal scores; a score on a threshold
+    counts as toxic. An empty table gives no rows."""
     usable = ~held_out(4, 2)
     scored = materialize(toxicity_scores(docs, learn(docs, labels, usable), keep=("lang",)), "scores")
     judged = judge(scored, calibrate(scored, labels, usable))
@@ -229,23 +264,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows whose score reaches their language's threshold, or
-    PREDICT_AT where that is lower. Without labels of both kinds none goes."""
+    PREDICT_AT where that is lower. Without labels of both kinds none goes. Null
+    texts count as empty; rows stand for themselves, repeated ones alike; an empty
+    table gives no rows. Each text is scored once, and written with its score."""
     usable = ~held_out(4, 2)
     model = learn(docs, labels, usable)
     if model is None:
         return docs
-    scored = materialize(toxicity_scores(docs, model, keep=("lang",)), "scores")
-    thresholds = calibrate(scored, labels, usable)
-    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
-    shared = docs.sparkSession.sparkContext.broadcast((model, thresholds))
+    names, at = docs.columns, docs.columns.index("text")
+    score = _scorer(model, docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, limits = shared.value
-        rest = limits.get(None, PREDICT_AT)
         for batch in batches:
-            for a, b in slices(batch.column(text_at)):
-                part = batch.slice(a, b - a)
-                limit = np.array([min(PREDICT_AT, limits.get(x, rest)) for x in part.column(lang_at).to_pylist()])
-                yield part.filter(pa.array(score_texts(known, Texts(part.column(text_at))) < limit))
-
-    return docs.mapInArrow(run, docs.schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch, at))], [*names, "__score"])
+
+    scored = materialize(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__score", DoubleType())])), "scored")
+    given = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("__score").alias("score"))
+    limits = {k: min(v, PREDICT_AT) for k, v in calibrate(given, labels, usable).items()}
+    rest = F.lit(limits.pop(None))
+    limit = rest
+    if limits:
+        table = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+        limit = F.coalesce(F.try_element_at(table, F.col("lang").cast("string")), rest)
+    return scored.where(F.col("__score") < limit).drop("__score")
