@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection by a chosen-path set similarity join.
 
-Documents with equal word sequences are first folded into classes. Each class
-has a minwise signature. A tree sends every class down the node named by one
+Documents with equal word sequences, by a cryptographic digest of all words, are
+first folded into classes. Each class has a minwise signature. A tree sends every class down the node named by one
 signature token; a node too heavy to compare branches again on one or two
 further tokens chosen by a hash of the node (4/3 in the mean, one over the
 similarity). Light nodes are compared exhaustively. Each tree has signature
@@ -16,15 +16,17 @@ large group of near copies is compared once and not once a tree.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, connected_components, constants, discard, materialize, mix64, shingle_hashes, slices
+from .common import _FOLD, Texts, Words, connected_components, constants, discard, materialize, pieces, shingle_hashes
 
 WIDTH = 5
 THRESHOLD = 0.75
@@ -38,6 +40,8 @@ LEAST_AGREE = max(1, math.floor(COORDINATES * THRESHOLD - 5 * math.sqrt(COORDINA
 #: Shingles that one comparison task may hold, about.
 NODE_WEIGHT = 300_000
 DEPTH = 5
+#: Words of a long text whose shingles are hashed at once.
+BLOCK_WORDS = 1 << 18
 #: Document ids, 8 bytes each, that are broadcast to pick texts; more are joined.
 BROADCAST_IDS = 1_000_000
 TARGET_RECALL = 0.999
@@ -54,61 +58,94 @@ def tree_rounds(target: float = TARGET_RECALL) -> list[int]:
     return [2, max(1, trees // 3), trees - max(1, trees // 3)]
 
 
+def _spelled(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The folded bytes of all words, a space after each, and where each word begins."""
+    size = words.last - words.first
+    begin = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum()) + words.n, 0x20, np.uint8)
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin, size) + step] = _FOLD[texts.data[np.repeat(words.first, size) + step]]
+    return out, np.append(begin, len(out))
+
+
 def _signatures(width: int, coordinates: int):
     odd = constants(coordinates, 101) | np.uint64(1)
-    place = constants(2, 55) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
-            for a, b in slices(text):
-                texts = Texts(text.slice(a, b - a))
+            n = np.zeros(batch.num_rows, np.int64)
+            mins = np.full((batch.num_rows, coordinates), 0xFFFFFFFF, np.uint32)
+            digests = [hashlib.sha256() for _ in range(batch.num_rows)]
+            long: dict[int, list[np.ndarray]] = {}  # word hashes of rows in several pieces
+
+            def least(hashes: np.ndarray, lo: np.ndarray, rows: np.ndarray, mins: np.ndarray) -> None:
+                for k in range(coordinates if len(rows) else 0):
+                    mins[rows, k] = np.minimum(mins[rows, k], np.minimum.reduceat((hashes * odd[k]) >> np.uint64(32), lo))
+
+            for a, b, texts, _ in pieces(batch.column(1), words=0):
                 words = Words(texts)
-                hashes, lo, hi = shingle_hashes(words, width)
-                n = np.array([len(np.unique(hashes[i:j])) if j - i > 1 else j - i for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], np.int64)
+                spelled, begin = _spelled(texts, words)
+                for i, (x, y) in enumerate(zip(words.lo.tolist(), words.hi.tolist(), strict=True)):
+                    digests[a + i].update(spelled[begin[x] : begin[y]])
+                if texts.part:
+                    long.setdefault(a, []).append(words.hash)
+                    continue
+                hashes, lo, hi = shingle_hashes(words.hash, words.lo, words.hi, width)
+                n[a:b] = [len(np.unique(hashes[i:j])) if j - i > 1 else j - i for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
                 full = np.flatnonzero(hi > lo)
-                mins = np.zeros((len(texts), coordinates), np.uint32)
-                keys = np.zeros((len(texts), 2), np.uint64)
-                if len(full):
-                    for k in range(coordinates):
-                        mins[full, k] = np.minimum.reduceat((hashes * odd[k]) >> np.uint64(32), lo[full])
-                    count = words.hi - words.lo
-                    order = np.arange(words.n, dtype=np.uint64) - np.repeat(words.lo, count).astype(np.uint64)
-                    for k in range(2):
-                        keys[full, k] = np.add.reduceat(mix64(words.hash + order * place[k]), words.lo[full]) + count[full].astype(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(a, b - a),
-                        pa.array(n),
-                        pa.array(keys[:, 0].view(np.int64)),
-                        pa.array(keys[:, 1].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(mins) * coordinates + 1, coordinates, dtype=np.int32)), pa.array(mins.view(np.int32).reshape(-1))),
-                    ],
-                    ["doc_id", "n_shingles", "k1", "k2", "mins"],
-                )
+                least(hashes, lo[full], a + full, mins)
+            for a, found in long.items():
+                every, kinds = np.concatenate(found), []
+                for at in range(0, max(len(every) - width + 1, 1), BLOCK_WORDS):
+                    block = every[at : at + BLOCK_WORDS + width - 1]
+                    hashes, lo, _ = shingle_hashes(block, np.zeros(1, np.int64), np.full(1, len(block)), width)
+                    kinds.append(np.unique(hashes))
+                    least(hashes, lo[: len(hashes)], np.full(min(1, len(hashes)), a), mins)
+                n[a] = len(np.unique(np.concatenate(kinds)))
+            mins[n == 0] = 0
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(n),
+                    pa.array([d.digest() for d in digests], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(mins) * coordinates + 1, coordinates, dtype=np.int32)), pa.array(mins.view(np.int32).reshape(-1))),
+                ],
+                ["doc_id", "n_shingles", "digest", "mins"],
+            )
 
     return run
 
 
-def shingle_set(text: str, width: int = WIDTH, fold: dict | None = None) -> set:
-    """The full set of a document: runs of `width` words, as tuples; fold gives
-    each a number and so keeps comparisons cheap without a hash to collide."""
-    lowered = text.translate(_LOWER)
-    for c in "\t\n\x0b\x0c\r":
-        lowered = lowered.replace(c, " ")
-    words = [w for w in lowered.split(" ") if w]
-    if not words:
-        return set()
-    if len(words) < width:
-        found = [tuple(words)]
-    else:
-        found = zip(*(words[j:] for j in range(width)), strict=False)
-    if fold is None:
-        return set(found)
-    return {fold.setdefault(x, len(fold)) for x in found}
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """The full set of each text, as a sorted array of numbers. Words, then pairs
+    of a run and its next word are numbered in turn, so that equal numbers mean
+    equal runs: nothing is hashed that could collide."""
+    texts = Texts(column)
+    words = Words(texts)
+    if not words.n:
+        return [np.zeros(0, np.int64)] * len(texts)
+    spelled, begin = _spelled(texts, words)
+    flat = pa.Array.from_buffers(pa.large_binary(), words.n, [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(spelled)])
+    ids = np.asarray(flat.dictionary_encode().indices).astype(np.int64)
+    count = words.hi - words.lo
+    n = np.where((count > 0) & (count < width), 1, np.maximum(count - width + 1, 0))
+    hi = np.cumsum(n)
+    row = np.repeat(np.arange(len(n)), n)
+    at = words.lo[row] + (np.arange(len(row)) - (hi - n)[row])
+    size = np.minimum(count, width)[row]
+    span = words.n + 1
+    run = ids[at]
+    for j in range(1, width):  # a short text's missing words are the last number
+        run = pd.factorize(run * span + np.where(size > j, ids[np.minimum(at + j, words.n - 1)], words.n))[0]
+    return [np.unique(run[i:j]) for i, j in zip((hi - n).tolist(), hi.tolist(), strict=True)]
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common numbers of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+    return int((b[at] == a).sum()) if len(b) else 0
 
 
 def _near(i: int, mins: np.ndarray, size: np.ndarray, side: np.ndarray, percent: int, least: int) -> np.ndarray:
@@ -146,7 +183,6 @@ def _compare(width: int, percent: int, least: int):
         side 1 rows meet each other and side 0 rows; side 0 rows don't meet."""
         ids = table.column("id").to_pylist()
         n = len(ids)
-        texts = table.column("text")
         mins, size, side = _signed(table)
         root, names = list(range(n)), {}
         for i, c in enumerate(table.column("comp").to_pylist()):
@@ -158,14 +194,7 @@ def _compare(width: int, percent: int, least: int):
                 i = root[i]
             return i
 
-        sets: dict[int, set] = {}
-        fold: dict = {}
-
-        def whole(i: int) -> set:
-            if i not in sets:
-                sets[i] = shingle_set(texts[i].as_py() or "", width, fold)
-            return sets[i]
-
+        sets = shingle_sets(table.column("text").combine_chunks(), width)
         a, b = [], []
         for i in range(n - 1):
             near = _near(i, mins, size, side, percent, least)
@@ -173,8 +202,8 @@ def _compare(width: int, percent: int, least: int):
                 x, y = find(i), find(j)
                 if x == y:
                     continue
-                both = len(whole(i) & whole(j))
-                if 100 * both >= percent * (len(whole(i)) + len(whole(j)) - both):
+                both = overlap(sets[i], sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     root[max(x, y)] = min(x, y)
                     a.append(ids[i])
                     b.append(ids[j])
@@ -266,10 +295,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     percent = round(threshold * 100)
     coordinates = max(COORDINATES, sum(tree_rounds(target_recall)) * (BRANCHES + 1))
     docs = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, mins array<int>"
+    schema = "doc_id long, n_shingles long, digest binary, mins array<int>"
     signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures(width, coordinates), schema), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    folded = materialize(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("mins").alias("mins")), "classes")
+    folded = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("mins").alias("mins")), "classes")
+    if folded.isEmpty():
+        return signed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     # a doc_id with several texts stands for all of them: each is a class of its own
     classes = folded.select("id", "n_shingles", "mins", F.greatest(F.col("n_shingles"), F.lit(64)).alias("w"))
     links = known = None
@@ -295,7 +326,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         known = materialize(connected_components(links).select("id", F.col("component").alias("comp")), "known")
         spare.append(found)
     discard(*spare)
-    placed = signed.select("doc_id", "n_shingles", "k1", "k2").join(folded.select("k1", "k2", "id").join(known, "id", "left").select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.coalesce("comp", "id").alias("component_id")), (F.col("k1") == F.col("x1")) & (F.col("k2") == F.col("x2")) & (F.col("n_shingles") > 0), "left")
+    given = folded.select(F.col("digest").alias("__digest"), "id").join(known, "id", "left").select("__digest", F.coalesce("comp", "id").alias("component_id"))
+    placed = signed.select("doc_id", "n_shingles", "digest").join(given, (F.col("digest") == F.col("__digest")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component_id", "doc_id")
     return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -308,15 +340,25 @@ def _pick(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group of near copies, that of the smallest doc_id.
-    Documents without words and rows without a doc_id stay. Of rows that repeat a
-    doc_id one stays, with the greatest text."""
-    judged = materialize(near_duplicates(docs, **options).select("doc_id", "n_shingles", "kept"), "judged")
-    gone = materialize(judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    again = judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
-    again = materialize(again, "again")
-    rest = _pick(docs, gone, "left_anti")
-    if again.isEmpty():
-        return rest
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
-    once = _pick(rest, again, "left_semi").withColumn("__rank", rank).where(F.col("__rank") == 1).drop("__rank")
-    return _pick(rest, again, "left_anti").unionByName(once)
+    Documents without words and rows without a doc_id stay. Rows that share a
+    doc_id are documents of their own: of equal ones the first stays, different
+    ones stay unless they are near copies. An empty table gives no rows."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():  # ids of our own, in the order of doc_id
+        order = ["doc_id", "text"]
+        unique = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__own", F.monotonically_increasing_id())
+        unique = materialize(unique, "unique")
+        rows = unique.select(F.when(F.col("doc_id").isNotNull(), F.col("__own")).alias("doc_id"), "text")
+        return _pick(unique, _gone(rows, options), "__own").drop("__own")
+    return _pick(docs, _gone(docs, options), "doc_id")
+
+
+def _gone(docs: DataFrame, options: dict) -> DataFrame:
+    judged = near_duplicates(docs, **options).where("not kept and n_shingles > 0")
+    return materialize(judged.select(F.col("doc_id").alias("__id")).distinct(), "gone")
+
+
+def _pick(docs: DataFrame, ids: DataFrame, by: str) -> DataFrame:
+    """docs but for the ids; few, by count, are broadcast."""
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(few, F.col(by).cast("long") == F.col("__id"), "left_anti")
