@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, let, materialize
 
 THRESHOLD = 0.98
 PROJECTIONS = 16
@@ -123,14 +123,17 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cuts:
     those without a label, link with nothing. Equal vectors are folded before the
     search and counted in n_links. Vectors of different lengths don't link. Rows
     that repeat a vec_id share the links of all of them; rows with a null
-    vec_id are kept, with a null component and no links. An empty table gives no
+    vec_id are kept, with a null component and no links. Components of any size
+    are scaled before they are squared. An empty table gives no
     rows. Extra columns are ignored.
     """
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").alias("label"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("e") > 0) & finite, F.lit(False))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
-    marked = given.select("vec_id", F.when(fine, F.col("label")).alias("label"), F.when(fine, F.col("e")).alias("e"))
+    # by the largest component first: squares of extreme ones would over- or underflow
+    scaled = let(F.col("e"), lambda e: let(F.array_max(F.transform(e, F.abs)), lambda m: F.transform(e, lambda x: x / m)))
+    marked = given.select("vec_id", F.when(fine, F.col("label")).alias("label"), F.when(fine & F.exists("e", lambda x: x != 0), scaled).alias("e"))
     marked = marked.select("vec_id", "label", F.when(norm > 0, F.transform("e", lambda x: x / norm)).alias("v"))
     rows = materialize(marked.select("vec_id", F.when(F.col("v").isNotNull(), F.col("label")).alias("label"), "v"), "vectors")
     usable = rows.where("v is not null and label is not null")
