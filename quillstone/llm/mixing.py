@@ -18,19 +18,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, Words, materialize, mix64, slices
+from ..operators.sampling import collect_sample
+from .common import Texts, Words, materialize, mix64, pieces
+from .language_id import sampled_text
 
 BUCKETS = 1 << 15
-#: The fit reads at most so many documents a domain, none above FIT_BYTES.
+#: The fit reads at most so many documents a domain, short ones first; of a
+#: document with more than FIT_BYTES characters, a run of that length at a hashed place.
 FIT_DOCS = 256
 FIT_BYTES = 8192
+#: The domains that are told apart, those with the most documents.
+DOMAINS = 64
 #: A posterior weighs at most this many words: beyond, membership stays soft.
 EVIDENCE = 16
 TEMPERATURE = 0.7
 ITERATIONS = 25
+#: Rows of a batch of repeated documents.
+REPEATED_ROWS = 512
 TOLERANCE = 1e-6
 
 
@@ -61,15 +68,19 @@ def fit_classifier(samples: list[tuple[str, str]]) -> Model:
     return Model(domains, np.log(share / share.sum()), np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
-def posteriors(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text, and its posterior; texts without words have the prior."""
-    words = Words(texts)
-    n = (words.hi - words.lo).astype(np.int64)
-    total = np.zeros((len(texts), len(model.domains)))
-    full = np.flatnonzero(n)
-    if len(full):
-        each = np.take(model.table, (words.hash % np.uint64(BUCKETS)).astype(np.int64), axis=0)
-        total[full] = np.add.reduceat(each, words.lo[full], axis=0, dtype=np.float64)
+def posteriors(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and its posterior; texts without words have the prior.
+    Long texts are read in pieces."""
+    n = np.zeros(len(column), np.int64)
+    total = np.zeros((len(column), len(model.domains)))
+    for a, b, texts, _ in pieces(column, words=0):
+        words = Words(texts)
+        count = (words.hi - words.lo).astype(np.int64)
+        n[a:b] += count
+        full = np.flatnonzero(count)
+        if len(full):
+            each = np.take(model.table, (words.hash % np.uint64(BUCKETS)).astype(np.int64), axis=0)
+            total[a + full] += np.add.reduceat(each, words.lo[full], axis=0, dtype=np.float64)
     logit = model.prior + total * np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
     p = np.exp(logit - logit.max(axis=1, keepdims=True))
     return n, p / p.sum(axis=1, keepdims=True)
@@ -83,11 +94,10 @@ def rates(mix: Mix, p: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, domain: str) -> list[tuple[str, str]]:
-    size = F.octet_length("text")
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    rows = docs.select("doc_id", "text", F.col(domain).cast("string").alias("domain")).where(F.col("domain").isNotNull() & (size > 0) & (size <= FIT_BYTES))
-    rows = rows.withColumn("r", rank).where(F.col("r") <= FIT_DOCS).select("domain", "text").collect()
-    return sorted((r["domain"], r["text"]) for r in rows)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(domain).cast("string").alias("domain")).where(F.octet_length("text") > 0)
+    key = F.xxhash64("doc_id", "text")
+    rows = rows.select("domain", key.alias("hash"), (F.length("text") > FIT_BYTES).alias("long"), sampled_text(F.col("text"), key, FIT_BYTES).alias("text"))
+    return [(r["domain"], r["text"]) for r in collect_sample(rows, "domain", FIT_DOCS, F.col("hash"), F.col("long"), DOMAINS)]
 
 
 def fit_mix(table: DataFrame, model: Model, weights: dict[str, float] | None, floor: float, total_tokens: float | None) -> Mix:
@@ -145,11 +155,9 @@ def _learn(docs: DataFrame, domain: str, weights, floor: float, total_tokens) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                n, p = posteriors(shared.value, Texts(part.column(1)))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), flat], ["doc_id", "n", "p"])
+            n, p = posteriors(shared.value, batch.column(1))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), flat], ["doc_id", "n", "p"])
 
     table = materialize(given.mapInArrow(run, "doc_id long, n long, p array<double>"), "posteriors")
     return fit_mix(table, model, weights, floor, total_tokens), table
@@ -182,8 +190,11 @@ def document_rates(docs: DataFrame, domain: str = "lang", weights: dict[str, flo
 
 def mixed(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, floor: float = 1.0, total_tokens: float | None = None) -> DataFrame:
     """docs with each row as often as its rate says: the whole part, and once more
-    if a hash of its id and text falls below the rest. With a floor of one, every
-    document stays, and targets are met by repeating."""
+    if a hash of its id and length in words falls below the rest. With a floor of
+    one, every document stays, and targets are met by repeating. Null and empty
+    texts have no tokens and the prior as posterior; a null id counts as 0; rows
+    stand for themselves, so repeated rows are repeated alike. An empty table gives
+    no rows, and without any labelled row docs stays as it is."""
     mix, _ = _learn(docs, domain, weights, floor, total_tokens)
     if mix is None:
         return docs
@@ -193,13 +204,13 @@ def mixed(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(text_at)):
-                part = batch.slice(a, b - a)
-                n, p = posteriors(shared.value.model, Texts(part.column(text_at)))
-                w = rates(shared.value, p)
-                ids = np.asarray(part.column(id_at).fill_null(0)).astype(np.int64).view(np.uint64)
-                chance = (mix64(ids + n.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) / 2.0**53
-                times = np.floor(w).astype(np.int64) + (chance < w - np.floor(w))
-                yield part.take(pa.array(np.repeat(np.arange(len(times)), times)))
+            n, p = posteriors(shared.value.model, batch.column(text_at))
+            w = rates(shared.value, p)
+            ids = np.asarray(batch.column(id_at).cast(pa.int64()).fill_null(0)).view(np.uint64)
+            chance = (mix64(ids + n.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) / 2.0**53
+            times = np.floor(w).astype(np.int64) + (chance < w - np.floor(w))
+            again = np.repeat(np.arange(len(times)), times)
+            for k in range(0, len(again), REPEATED_ROWS):
+                yield batch.take(pa.array(again[k : k + REPEATED_ROWS]))
 
     return docs.mapInArrow(run, docs.schema)
