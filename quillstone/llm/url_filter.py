@@ -94,25 +94,34 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("tokens", "rule_id", "size").count().where("count = size").select("tokens").distinct()
 
 
+def shown_document(url: Column) -> Column:
+    """The id of the document that a page shows: the number that ends its path."""
+    return F.regexp_extract(host_and_path(url)[1], r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1).try_cast("long")
+
+
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """One row per row of pages(page_id, url): page_id, host, path, rule, verdict.
 
-    labels(doc_id, quality, toxic) mark the page of that id as unwanted if quality
-    is 0 or toxic is 1. A fitting explicit rule decides, the longest one; else a
+    labels(doc_id, quality, toxic) mark the pages that show a document as unwanted
+    if its quality is 0 or toxic is 1; shown_document() tells which that is, and
+    other pages aren't learnt from. A fitting explicit rule decides, the longest one; else a
     mined rule blocks; else the verdict is allow. Null urls and urls without ://
-    have an empty host and path. Repeated or null page_ids do no harm; a page
-    labelled twice is unwanted if either row says so. Extra columns are ignored.
+    have an empty host and path. Repeated or null page_ids do no harm; a
+    document labelled twice is unwanted if either row says so. An empty pages table
+    gives no rows, without labels only the explicit rules decide. Extra columns are
+    ignored. Of rules of equal length that fit, which can only differ in host, the
+    first in RULES wins.
     """
     host, path = host_and_path(F.col("url"))
     given = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    marks = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)).alias("bad"))
-    labelled = given.join(marks.where("page_id is not null"), "page_id").select("url", (F.col("bad") == 1).alias("blocked"))
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("shown")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)).alias("bad"))
+    labelled = given.select("url", shown_document(F.col("url")).alias("shown")).join(marks, "shown").select("url", (F.col("bad") == 1).alias("blocked"))
     mined = materialize(mine_rules(labelled, min_support, min_confidence), "mined")
     parsed = given.select("page_id", "url", host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("fit", explicit_rule(F.col("host"), F.col("path"), rules))
     if mined.isEmpty():
         return parsed.select("page_id", "host", "path", "fit.rule", F.coalesce("fit.verdict", F.lit("allow")).alias("verdict"))
-    parsed = parsed.withColumn("tokens", url_tokens(F.col("url")))
+    parsed = parsed.withColumn("tokens", F.coalesce(url_tokens(F.col("url")), F.array().cast("array<string>")))
     bad = matched(parsed.where("fit is null"), mined).withColumn("bad", F.lit(True))
     return parsed.join(bad, "tokens", "left").select(
         "page_id", "host", "path", "fit.rule", F.coalesce("fit.verdict", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict")
