@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,8 +97,14 @@ def test_lines_treat_repeated_rows_alike(docs):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("1", ""), ("1", ""), ("2", "d"), ("None", "a\nb\nc")]
 
 
+def shingle_set(text, width=5):
+    """By definition: runs of words, as tuples."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", folded(text))
+    return {tuple(words[i : i + width]) for i in range(max(len(words) - width + 1, min(len(words), 1)))}
+
+
 def near_want(rows):
-    sets = {i: near_dup.shingle_set(t or "") for i, t in rows}
+    sets = {i: shingle_set(t or "") for i, t in rows}
     ids, root = sorted(sets), {i: i for i in sets}
 
     def find(x):
@@ -154,7 +162,7 @@ def test_near_recall_where_all_levels_are_heavy(docs):
         common = [f"c{i}x{k}" for k in range(64)]
         for side in (0, 1):
             rows.append((2 * i + side, " ".join(common + [f"t{i}x{side}x{k}" for k in range(10)])))
-    a, b = (near_dup.shingle_set(rows[k][1]) for k in (0, 1))
+    a, b = (shingle_set(rows[k][1]) for k in (0, 1))
     assert 100 * len(a & b) == 75 * len(a | b)
     got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs(rows), node_weight=64).collect()}
     assert all(got[x] in (x, x - x % 2) for x in got)
@@ -162,6 +170,33 @@ def test_near_recall_where_all_levels_are_heavy(docs):
     assert missed <= 0.001 * n, missed
 
 
+def test_near_confirms_words_that_simple_hashes_confuse(docs):
+    """Words over two letters in the Thue-Morse order and its complement cancel out
+    in any polynomial hash modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate({97: 98, 98: 97})
+    rows = [(1, "one two three four five " + word), (2, "one two three four five " + other)]
+    long = ["x y " * 200_000, "é" * 300_000 + " b c", " ".join(f"w{i % 777}" for i in range(150_000))]
+    for k, text in enumerate(long):  # texts that are read in pieces
+        rows += [(10 * k + 11, text), (10 * k + 12, text.upper().replace("É", "é") + "\n"), (10 * k + 13, "else " + text + " more")]
+    check_near(docs, rows)
+
+
+def test_shingle_sets_are_exact():
+    texts = ["a b c d e f a b c d e", None, "", "A", "a", "a a", "a b", "é \t x", "b c d e f a b"]
+    got = near_dup.shingle_sets(pa.array(texts))
+    for x, s in zip(texts, got, strict=True):
+        for y, t in zip(texts, got, strict=True):
+            assert near_dup.overlap(s, t) == len(shingle_set(x) & shingle_set(y)) and len(s) == len(shingle_set(x))
+
+
+def test_different_documents_of_one_id_stay(docs):
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (5, "quite other words of the same id"), (7, "A b c d e f"), (8, None), (8, None), (None, "a b c d e f"), (None, "a b c d e f")]
+    left = near_dup.drop_near_duplicates(docs(rows, extra=True)).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left) == [("5", "a b c d e f"), ("5", "quite other words of the same id"), ("8", "None"), ("8", "None"), ("None", "a b c d e f"), ("None", "a b c d e f")]
+    assert near_dup.drop_near_duplicates(docs([])).count() == 0
+
+
 def test_near_edges(docs):
     assert near_dup.near_duplicates(docs([])).count() == 0
     got = near_dup.near_duplicates(docs([(None, "a b c d e f"), (5, "a b c d e f"), (5, "other words of the same id here"), (7, "a b c d e f")])).collect()

@@ -114,8 +114,13 @@ def test_perplexity_matches_the_definition(docs, spark, shard_rows):
     rows = list(enumerate(trusted + other))
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
     split = lambda t: [tuple(([0] * 4 + list(t.encode()))[i : i + 5]) for i in range(len(t.encode()))]
-    counts = Counter(g for t in trusted for g in split(t))
-    got = {r["doc_id"]: r["perplexity"] for r in quality.classify_quality(docs(rows, extra=True), labels, shard_rows=shard_rows).collect()}
+    from pyspark.sql import functions as F
+
+    apart = {r[0] for r in spark.range(3).where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(quality.HELD_OUT)) == 0).collect()}
+    counts = Counter(g for i, t in [*enumerate(trusted), (0, trusted[0]), (0, trusted[0])] if i not in apart for g in split(t))
+    found = quality.classify_quality(docs([*rows, rows[0], rows[0]], extra=True), labels, shard_rows=shard_rows).collect()
+    assert sorted(r["doc_id"] for r in found) == [0, 0, 0, 1, 2, 3, 4, 5] and {r["n_bytes"] for r in found if not r["doc_id"]} == {len(trusted[0])}
+    got = {r["doc_id"]: r["perplexity"] for r in found}
     for i, t in rows:
         if not t:
             assert got[i] is None
@@ -126,10 +131,10 @@ def test_perplexity_matches_the_definition(docs, spark, shard_rows):
 
 def test_quality_limits(docs, spark):
     rng = random.Random(2)
-    rows = [(i, prose(rng, "en"), "en") for i in range(120)] + [(200 + i, "".join(rng.choice("qxzj#!9 ") for _ in range(90)), "en") for i in range(10)] + [(300, None, None)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    rows = [(i, prose(rng, "en"), "en") for i in range(420)] + [(1200 + i, "".join(rng.choice("qxzj#!9 ") for _ in range(90)), "en") for i in range(10)] + [(1300, None, None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r["kept"] for r in quality.classify_quality(docs(rows), labels).collect()}
-    assert sum(got[i] for i in range(120)) > 110 and not any(got[200 + i] for i in range(10)) and not got[300]
+    assert sum(got[i] for i in range(420)) > 400 and not any(got[1200 + i] for i in range(10)) and not got[1300]
     assert quality.classify_quality(docs([]), labels).count() == 0
     assert all(r["kept"] for r in quality.classify_quality(docs([(1, "x y")]), labels.limit(0)).collect())
 
@@ -159,8 +164,28 @@ def test_toxicity_held_out(docs, spark):
 def test_whole_text_is_read(docs, spark):
     model = toxicity.fit([("fine words here", 0), ("utter scum here", 1)] * 30)
     far = "fine " * 30_000 + "scum"
-    low, high = toxicity.score_texts(model, Texts(pa.array(["fine " * 30_000, far])))
-    assert high > low
+    text = " ".join([far] * 3)
+    low, high = toxicity.score_column(model, pa.array(["fine " * 300_000, text]))
+    assert high > low and len(text) > 1 << 18
+    at_once = toxicity.responses(model, Texts(pa.array([text]))) @ model.out + model.base
+    assert high == pytest.approx(1 / (1 + math.exp(-at_once[0])), rel=1e-5)
+
+
+def test_forward_pass_by_plain_loops():
+    """The vectorised responses against loops over words, filters and widths."""
+    model = toxicity.fit([("fine words here now", 0), ("utter scum here", 1)] * 8)
+    texts = ["fine scum", "", "here utter words now scum fine", "now"]
+    got = toxicity.responses(model, Texts(pa.array(texts)))
+    block = {w: sum(toxicity.WIDTHS[:k]) for k, w in enumerate(toxicity.WIDTHS)}
+    for t, row in zip(texts, got, strict=True):
+        one, two, words = toxicity._indices(Texts(pa.array([t])))
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = 0.0
+                for i in range(words.n - w + 1):
+                    cell = [(block[w] + j) * toxicity.FILTERS + f for j in range(w)]
+                    best = max(best, model.bias[k * toxicity.FILTERS + f] + sum(model.tables[0][one[i + j], c] + model.tables[1][two[i + j] - toxicity.BUCKETS, c] for j, c in enumerate(cell)))
+                assert row[k * toxicity.FILTERS + f] == pytest.approx(best, abs=1e-4)
 
 
 # ----------------------------------------------------------------------- mixing
@@ -226,9 +251,11 @@ def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 64))
     rows = [(i, (base[i % 40] + rng.normal(size=64) * rng.choice([0, 0.1, 0.2])).tolist(), int(i % 3)) for i in range(400)]
+    rows += [(600, [1e200] + [0.0] * 63, 2), (601, [0.0, 1e200] + [0.0] * 62, 2), (602, [1e-200] + [0.0] * 63, 2), (603, [1e-310] + [0.0] * 63, 2), (604, [1e308] * 64, 2), (605, [1e-300] * 64, 2)]
     rows += [(400 + i, rows[0][1], rows[0][2]) for i in range(5)] + [(500, None, 1), (501, [0.0] * 64, 1), (502, [float("nan")] * 64, 1), (503, rows[0][1], None), (504, [1.0, 2.0], 1), (505, [], 1), (506, [2 * v for v in rows[0][1]], rows[0][2])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    fine = {i: (np.array(v) / np.linalg.norm(v), k) for i, v, k in rows if v and k is not None and np.isfinite(v).all() and np.any(v)}
+    unit = lambda v: v / np.linalg.norm(v)
+    fine = {i: (unit(np.array(v) / np.abs(v).max()), k) for i, v, k in rows if v and k is not None and np.isfinite(v).all() and np.any(v)}
     links = defaultdict(set)
     for i, (v, k) in fine.items():
         for j, (u, m) in fine.items():
@@ -257,12 +284,21 @@ def tokenizers():
     return bpe.load(path), library.Tokenizer.from_file(path), path
 
 
+def test_bpe_classes_of_later_letters(tokenizers):
+    tok, library, _ = tokenizers
+    for a, b in bpe.LATER:
+        for c in {a, b, a - 1, b + 1}:
+            for form in ("a%s1", "1%sa", "!%s!", " %s"):
+                text = form % chr(c)
+                assert ids_of(tok, text) == library.encode(text, add_special_tokens=False).ids, hex(c)
+
+
 def ids_of(tok, text):
     return np.frombuffer(tok.encode(text), "<u4").tolist()
 
 
 @settings(max_examples=400, deadline=None)
-@given(text=st.text(st.characters(max_codepoint=0x2FFF, exclude_categories=["Cn", "Cs"]), max_size=60) | st.text("ab eth'ls\n\t 01!é", max_size=80))
+@given(text=st.text(st.characters(exclude_categories=["Cs"]), max_size=60) | st.text("ab eth'ls\n\t 01!é", max_size=80))
 def test_bpe_equals_the_library(tokenizers, text):
     tok, library, _ = tokenizers
     ids = library.encode(text, add_special_tokens=False).ids
@@ -272,7 +308,7 @@ def test_bpe_equals_the_library(tokenizers, text):
 
 def test_bpe_special_long_and_edges(tokenizers, docs):
     tok, library, path = tokenizers
-    for text in ["", "a<|endoftext|>b", "<|endoftext|>" * 3, "<|endoftext", "x" * 5000, "aaa" * 777 + " b", " \n \n  x"]:
+    for text in ["", "a<|endoftext|>b", "<|endoftext|>" * 3, "<|endoftext", "x" * 5000, "aaa" * 777 + " b", " \n \n  x", "w1 w2<|endoftext|> " * 100_000]:
         assert ids_of(tok, text) == library.encode(text, add_special_tokens=False).ids
     got = {r["doc_id"]: (r["n_tokens"], r["decoded"]) for r in bpe.encode(docs([(1, None), (2, ""), (None, "the thing"), (4, "q " * 50_000)], extra=True), path).collect()}
     assert got[1] == got[2] == (0, "") and got[None] == (2, "the thing") and got[4][1] == "q " * 50_000
@@ -283,7 +319,7 @@ def test_automaton_agrees_with_merging(tokenizers):
     """Whether one token may follow another: the automaton against merging by rank."""
     tok, library, _ = tokenizers
     rng = random.Random(8)
-    letters = [i for i, b in tok.labels.items() if b.isalpha() and b.isascii() and b.islower()]
+    letters = [i for i, b in enumerate(tok.labels) if b.isalpha() and b.isascii() and b.islower()]
     for _ in range(3000):
         a, b = rng.choice(letters), rng.choice(letters)
         merged = library.encode((tok.labels[a] + tok.labels[b]).decode(), add_special_tokens=False).ids
