@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the word cache; a full one is emptied, and it ends with its task.
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 #: Words of a text that are looked up at once, and characters of short texts.
 CHUNK_WORDS = 1 << 17
 GROUP_CHARS = 1 << 19
@@ -191,13 +191,18 @@ class Tokenizer:
                 at -= sizes[states[at]]
             yield out[::-1]
 
-    def _words(self, text: str) -> Iterator[str]:
-        return (m[0] for m in (_FAST if _SIMPLE.fullmatch(text) else _FULL).finditer(text))
+    def _words(self, text: str) -> tuple[list[str], Iterator[str]]:
+        """Words of a text: the first, and the rest of a long one."""
+        pattern = _FAST if _SIMPLE.fullmatch(text) else _FULL
+        if len(text) <= GROUP_CHARS:
+            return pattern.findall(text), iter(())
+        words = (m[0] for m in pattern.finditer(text))
+        return list(islice(words, CHUNK_WORDS)), words
 
     def _learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words.clear()
-        new = sorted(w.encode() for w in words if w not in self.words)
+        new = sorted(w.encode() for w in words - self.words.keys())
         for w, found in zip(new, self.encode_words(new), strict=True):
             self.words[w.decode()] = pack(f"<{len(found)}I", *found)
 
@@ -212,8 +217,8 @@ class Tokenizer:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Short texts
         learn their words together; a long one CHUNK_WORDS at a time."""
-        whole = [[(list(islice(words := self._words(part), CHUNK_WORDS)), words, special) for part, special in self._parts(t)] for t in texts]
-        self._learn({w for parts in whole for head, _, _ in parts for w in head})
+        whole = [[(*self._words(part), special) for part, special in self._parts(t)] for t in texts]
+        self._learn(set().union(*(head for parts in whole for head, _, _ in parts)))
         joined = [[self._joined(head) for head, _, _ in parts] for parts in whole]
         out = []
         for parts, heads in zip(whole, joined, strict=True):
