@@ -31,10 +31,17 @@ def let(value: Column, body) -> Column:
 
 
 # ------------------------------------------------------------------- components
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each u of edges(u, v) has one v, and no v is a u."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+    met = ends.groupBy("e.x").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("down"))
+    return met.where("ups > 1 or (ups = 1 and down = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for each node of edges(a, b): component is the smallest
-    id reachable. Alternates large-star and small-star rounds until the edges
-    no longer change; each round is written to the shared folder, nothing is
+    id reachable. Alternates large-star and small-star rounds until each node hangs
+    on one smaller root; each round is written to the shared folder, nothing is
     collected, and node degrees never meet in one task: the minima are partially
     aggregated and the joins back can be split by adaptive execution."""
     star = (
@@ -42,12 +49,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    star, seen = materialize(star, "edges"), None
-    while True:
-        n = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if n[0] == 0 or tuple(n) == seen:
-            break
-        seen = tuple(n)
+    star = materialize(star, "edges")
+    while not _is_forest_of_stars(star):
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.least("u", "m").alias("m"))
@@ -64,10 +67,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = materialize(small, "small")
         discard(star, large)
         star = small
-    roots = star.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return star.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
-        roots.join(star.select(F.col("u").alias("id")).distinct(), "id", "left_anti")
-    )
+    return star.select(F.col("u").alias("id"), F.col("v").alias("component")).union(star.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 # ------------------------------------------------------------- batch arithmetic

@@ -9,9 +9,10 @@ tokens of its own, so that trees are independent; they repeat this until pairs a
 the threshold are met with the target recall. Every link is
 confirmed on the full shingle sets.
 
-Trees run in rounds. After each round the links found are merged into
-components, and later rounds drop nodes that lie within one component, so a
-large group of near copies is compared once and not once a tree.
+Trees run in two rounds. After the first the links found are merged into
+components, and the second drops nodes that lie within one component, so a
+large group of near copies is compared once and not once a tree. A comparison
+task takes many nodes together, up to a weight.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _FOLD, Texts, Words, connected_components, constants, discard, materialize, pieces, shingle_hashes
@@ -37,6 +38,8 @@ BRANCHES = 8
 #: Pairs whose signatures agree on fewer coordinates than this aren't compared:
 #: five standard deviations below what a pair at the threshold has.
 LEAST_AGREE = max(1, math.floor(COORDINATES * THRESHOLD - 5 * math.sqrt(COORDINATES * THRESHOLD * (1 - THRESHOLD))))
+#: Rows of signatures, 200 bytes each, that a task looks through, about.
+TASK_ROWS = 20_000
 #: Shingles that one comparison task may hold, about.
 NODE_WEIGHT = 300_000
 DEPTH = 5
@@ -54,8 +57,7 @@ PIVOTS = 4
 def tree_rounds(target: float = TARGET_RECALL) -> list[int]:
     """Numbers of trees by round: few at first, which merge the large groups. As
     they compare the heaviest nodes in part only, the others reach the target."""
-    trees = max(2, math.ceil(math.log(1 - target) / math.log(1 - TREE_RECALL)))
-    return [2, max(1, trees // 3), trees - max(1, trees // 3)]
+    return [2, max(2, math.ceil(math.log(1 - target) / math.log(1 - TREE_RECALL)))]
 
 
 def _spelled(texts: Texts, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -161,17 +163,27 @@ def _signed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mins, np.asarray(table.column("n_shingles")), np.asarray(table.column("side"))
 
 
+def _by_node(table: pa.Table) -> tuple[pa.Table, Iterator[tuple[int, int]]]:
+    """A task's rows in the order of nodes, and where each node begins and ends."""
+    table = table.sort_by("key").combine_chunks()
+    key = np.asarray(table.column("key"))
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist()
+    return table, zip(cut[:-1], cut[1:], strict=True)
+
+
 def _candidates(percent: int, least: int):
     def run(table: pa.Table) -> pa.Table:
-        """The rows of one node that have a possible partner in another component;
+        """The rows that have a possible partner of another component in their node;
         the texts of the others needn't be fetched."""
+        table, nodes = _by_node(table)
         mins, size, side = _signed(table)
         comp, met = np.asarray(table.column("comp")), np.zeros(table.num_rows, bool)
-        for i in range(table.num_rows - 1):
-            near = _near(i, mins, size, side, percent, least) & (comp[i + 1 :] != comp[i])
-            if near.any():
-                met[i] = True
-                met[i + 1 :] |= near
+        for x, y in nodes:
+            for i in range(x, y - 1):
+                near = _near(i - x, mins[x:y], size[x:y], side[x:y], percent, least) & (comp[i + 1 : y] != comp[i])
+                if near.any():
+                    met[i] = True
+                    met[i + 1 : y] |= near
         return table.filter(pa.array(met))
 
     return run
@@ -179,35 +191,33 @@ def _candidates(percent: int, least: int):
 
 def _compare(width: int, percent: int, least: int):
     def run(table: pa.Table) -> pa.Table:
-        """Links of one node, as a forest over the components known before.
+        """Links of a task's nodes, as stars over the components known before: each
+        one found to be linked, and the smallest of those that it is linked with.
         side 1 rows meet each other and side 0 rows; side 0 rows don't meet."""
-        ids = table.column("id").to_pylist()
-        n = len(ids)
+        table, nodes = _by_node(table)
         mins, size, side = _signed(table)
-        root, names = list(range(n)), {}
-        for i, c in enumerate(table.column("comp").to_pylist()):
-            root[i] = names.setdefault(c, i)
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        sets = shingle_sets(table.column("text").combine_chunks(), width)
-        a, b = [], []
-        for i in range(n - 1):
-            near = _near(i, mins, size, side, percent, least)
-            for j in (np.flatnonzero(near) + i + 1).tolist():
-                x, y = find(i), find(j)
-                if x == y:
-                    continue
-                both = overlap(sets[i], sets[j])
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    root[max(x, y)] = min(x, y)
-                    a.append(ids[i])
-                    b.append(ids[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        comp = table.column("comp").to_pylist()
+        root = {c: c for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        sets = shingle_sets(table.column("text").chunk(0) if table.num_rows else pa.array([], pa.string()), width)
+        for x, y in nodes:
+            for i in range(x, y - 1):
+                near = _near(i - x, mins[x:y], size[x:y], side[x:y], percent, least)
+                for j in (np.flatnonzero(near) + i + 1).tolist():
+                    p, q = find(comp[i]), find(comp[j])
+                    if p == q:
+                        continue
+                    both = overlap(sets[i], sets[j])
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        root[max(p, q)] = min(p, q)
+        stars = [(c, find(c)) for c in root if find(c) != c]
+        return pa.table({"a": pa.array([a for a, _ in stars], pa.int64()), "b": pa.array([b for _, b in stars], pa.int64())})
 
     return run
 
@@ -282,6 +292,13 @@ def _blocks(heavy: DataFrame, weight: int, first_round: bool) -> DataFrame:
     return against_main.union(among)
 
 
+def _tasks(rows: DataFrame, weight: int, each: Column, texts: DataFrame | None = None):
+    """rows grouped into tasks of about `weight`, a node always as a whole."""
+    total = rows.agg(F.sum(each.cast("long"))).first()[0] or 0
+    task = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(max(1, math.ceil(total / weight))))
+    return (rows if texts is None else rows.join(texts, "id")).groupBy(task.alias("task"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, target_recall: float = TARGET_RECALL, node_weight: int = NODE_WEIGHT, depth: int = DEPTH) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id,
     kept. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a document's set
@@ -303,29 +320,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         return signed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     # a doc_id with several texts stands for all of them: each is a class of its own
     classes = folded.select("id", "n_shingles", "mins", F.greatest(F.col("n_shingles"), F.lit(64)).alias("w"))
-    links = known = None
+    known = docs.sparkSession.createDataFrame([], "id long, comp long")
     compare = _compare(width, percent, LEAST_AGREE)
     first = 0
-    spare: list[DataFrame] = []
     for turn, trees in enumerate(tree_rounds(target_recall)):
-        none = docs.sparkSession.createDataFrame([], "id long, comp long")
-        light, heavy, used = _nodes(classes, known if known is not None else none, range(first, first + trees), node_weight, depth)
+        light, heavy, used = _nodes(classes, known, range(first, first + trees), node_weight, depth)
         first += trees
         tasks = light.select("key", "id", "comp", F.lit(1).alias("side"))
         if heavy is not None:
             tasks = tasks.union(_blocks(heavy, node_weight, turn == 0))
         columns = ["key", "id", "comp", "side", "n_shingles", "mins"]
-        rows = tasks.join(classes.select("id", "n_shingles", F.slice("mins", 1, COORDINATES).alias("mins")), "id").select(columns)
-        met = materialize(rows.groupBy("key").applyInArrow(_candidates(percent, LEAST_AGREE), rows.schema), "candidates")
+        signs = classes.select("id", "n_shingles", F.slice("mins", 1, COORDINATES).alias("mins"))
+        rows = materialize(tasks.join(signs, "id").select(columns), "rows")
+        met = materialize(_tasks(rows, TASK_ROWS * 350, F.lit(350)).applyInArrow(_candidates(percent, LEAST_AGREE), rows.schema), "candidates")
         wanted = materialize(met.select("id").distinct(), "wanted")
         small = wanted.count() <= BROADCAST_IDS
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
-        found = materialize(met.join(texts, "id").select(*columns, "text").groupBy("key").applyInArrow(compare, "a long, b long"), "links")
-        links = found if links is None else links.union(found)
-        discard(*used, met, wanted, *([known] if known is not None else []))
-        known = materialize(connected_components(links).select("id", F.col("component").alias("comp")), "known")
-        spare.append(found)
-    discard(*spare)
+        found = materialize(_tasks(met, node_weight, F.col("n_shingles"), texts).applyInArrow(compare, "a long, b long"), "links")
+        merged = materialize(connected_components(found), "merged")
+        # what was known moves on with its component, and the rest is new
+        moved = known.join(merged.select(F.col("id").alias("comp"), F.col("component").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+        fresh = merged.join(known.select("id"), "id", "left_anti").select("id", F.col("component").alias("comp"))
+        now = materialize(moved.union(fresh), "known")
+        discard(*used, rows, met, wanted, found, merged, known)
+        known = now
     given = folded.select(F.col("digest").alias("__digest"), "id").join(known, "id", "left").select("__digest", F.coalesce("comp", "id").alias("component_id"))
     placed = signed.select("doc_id", "n_shingles", "digest").join(given, (F.col("digest") == F.col("__digest")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component_id", "doc_id")
