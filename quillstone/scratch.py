@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ _paths: dict[str, SparkSession] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or where that is
-    unset (single-machine tests) a fresh temporary folder."""
+    unset, on a single machine only, a fresh temporary folder."""
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set(key, found)
     return found.rstrip("/")
