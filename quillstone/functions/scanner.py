@@ -4,11 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_SCHEMA = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("code", "comments")])
 _QUOTES = {True: "\"'", False: "\"'`"}
 
 
@@ -71,9 +66,3 @@ def scan(text: str | None, language: str | None) -> tuple[list[str], list[str]]:
         codes.append(code)
         comments.append(" ".join(c.strip(" *") for c in notes).strip())
     return codes, comments
-
-
-@F.pandas_udf(_SCHEMA)
-def code_and_comments(text: pd.Series, language: pd.Series) -> pd.DataFrame:
-    found = [scan(t, x) for t, x in zip(text, language, strict=True)]
-    return pd.DataFrame({"code": [c for c, _ in found], "comments": [n for _, n in found]})

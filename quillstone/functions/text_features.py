@@ -1,15 +1,20 @@
 """The thirteen text features. Those of the raw text are built-in expressions;
-those of code and comments read the scanner's output."""
+those of code and comments are read off the scanned lines, in one Arrow function."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import ANY_TYPE, FEATURES, LOG_CALL, NULL_CHECK, TODO, TOKEN, TYPOGRAPHIC
-from .scanner import code_and_comments
+from .scanner import scan
 
 _ENDS = r"[\s\x1c-\x1f\x85\p{Z}]"
 _SOLID = r"[^\s\x1c-\x1f\x85\p{Z}]"
@@ -42,39 +47,38 @@ def raw_features(text: Column) -> dict[str, Column]:
     }
 
 
-def scanned_features(text: Column, scanned: Column) -> dict[str, Column]:
-    text = F.coalesce(text, F.lit(""))
-    code, comments, lines = scanned["code"], scanned["comments"], _lines(text)
-    rows = F.filter(F.arrays_zip(lines.alias("line"), code.alias("code"), comments.alias("note")), lambda r: r["line"].rlike(_SOLID))
-    notes = F.filter(F.transform(rows, lambda r: r["note"]), lambda c: c != "")
-    with_code = F.filter(rows, lambda r: r["code"].rlike(_SOLID))
-    n_rows, n_code = F.greatest(F.lit(1.0), F.size(rows).cast("double")), F.greatest(F.lit(1.0), F.size(with_code).cast("double"))
-    words = F.transform(notes, lambda c: _count(c, _SOLID + "+"))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    only = F.filter(rows, lambda r: (r["note"] != "") & ~r["code"].rlike(_SOLID))
-    joined = F.array_join(code, "\n")
-    indents = F.transform(with_code, lambda r: F.char_length(F.regexp_extract(r["line"], r"^[ \t]*", 0)).cast("double"))
-    unit = F.coalesce(F.array_min(F.filter(indents, lambda x: x > 0)), F.lit(1.0))
-    tokens = F.array_sort(F.regexp_extract_all(joined, F.lit("(?U)(" + TOKEN + ")"), F.lit(1)))
-    n_tokens = F.size(tokens).cast("double")
-    # over sorted tokens: lengths of equal runs, as (run's token, its length, sum of n log2 n)
-    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
-    xlogx = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
-    runs = F.aggregate(
-        tokens, start,
-        lambda a, t: F.when(a["t"] == t, F.struct(t.alias("t"), (a["n"] + 1).alias("n"), a["s"].alias("s"))).otherwise(F.struct(t.alias("t"), F.lit(1.0).alias("n"), (a["s"] + xlogx(a["n"])).alias("s"))),
-        lambda a: a["s"] + xlogx(a["n"]),
+SCANNED = ["mean_comment_words", "comment_char_ratio", "comment_line_ratio", "null_check_density", "any_density", "log_call_density", "max_indent_depth", "token_entropy"]
+_PATTERNS = {n: re.compile(p) for n, p in (("null", NULL_CHECK), ("any", ANY_TYPE), ("log", LOG_CALL), ("token", TOKEN))}
+_INDENT = re.compile(r"[ \t]*")
+
+
+def scanned_features(text: str | None, language: str | None) -> tuple[float, ...]:
+    """The features of one text that need its code and comments apart, in the order
+    of SCANNED. Each is read off the scanned lines once."""
+    text = text or ""
+    code, comments = scan(text, language)
+    rows = [(line, c, n) for line, c, n in zip(text.split("\n"), code, comments, strict=True) if line.strip()]
+    notes = [n for _, _, n in rows if n]
+    with_code = [line for line, c, _ in rows if c.strip()]
+    joined = "\n".join(code)
+    count = {k: sum(1 for _ in _PATTERNS[k].finditer(joined)) / max(1, len(with_code)) for k in ("null", "any", "log")}
+    indents = [_INDENT.match(line).end() for line in with_code]
+    unit = min((i for i in indents if i), default=1)
+    tokens = Counter(_PATTERNS["token"].findall(joined))
+    n = sum(tokens.values())
+    return (
+        sum(len(x.split()) for x in notes) / len(notes) if notes else 0.0,
+        sum(map(len, notes)) / max(1, len(text)),
+        sum(1 for _, c, x in rows if x and not c.strip()) / max(1, len(rows)),
+        count["null"], count["any"], count["log"],
+        math.log1p(max(indents, default=0) / unit),
+        math.log2(n) - math.fsum(k * math.log2(k) for k in sorted(tokens.values())) / n if n else 0.0,
     )
-    return {
-        "mean_comment_words": F.when(F.size(notes) > 0, total(words) / F.size(notes)).otherwise(F.lit(0.0)),
-        "comment_char_ratio": total(F.transform(notes, lambda c: F.char_length(c).cast("double"))) / F.greatest(F.lit(1.0), F.char_length(text).cast("double")),
-        "comment_line_ratio": F.size(only).cast("double") / n_rows,
-        "null_check_density": _count(joined, NULL_CHECK) / n_code,
-        "any_density": _count(joined, ANY_TYPE) / n_code,
-        "log_call_density": _count(joined, LOG_CALL) / n_code,
-        "max_indent_depth": F.log1p(F.coalesce(F.array_max(indents), F.lit(0.0)) / unit),
-        "token_entropy": F.when(n_tokens > 0, F.log2(n_tokens) - runs / n_tokens).otherwise(F.lit(0.0)),
-    }
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in SCANNED]))
+def _scanned(text: pd.Series, language: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([scanned_features(t, x) for t, x in zip(text, language, strict=True)], columns=SCANNED)
 
 
 def with_features(rows: DataFrame, names: Sequence[str] = tuple(FEATURES), text: str = "code", language: str = "language") -> DataFrame:
@@ -82,7 +86,7 @@ def with_features(rows: DataFrame, names: Sequence[str] = tuple(FEATURES), text:
     if unknown:
         raise ValueError(f"unknown features {unknown}; available: {', '.join(FEATURES)}")
     found = raw_features(F.col(text))
-    if any(n not in found for n in names):
-        rows = rows.withColumn("__scan", code_and_comments(F.coalesce(F.col(text), F.lit("")), F.col(language)))
-        found |= scanned_features(F.col(text), F.col("__scan"))
+    if any(n in SCANNED for n in names):
+        rows = rows.withColumn("__scan", _scanned(F.col(text), F.col(language)))
+        found |= {n: F.col("__scan")[n] for n in SCANNED}
     return rows.withColumns({n: found[n] for n in names}).drop("__scan")
