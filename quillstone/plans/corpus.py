@@ -11,13 +11,13 @@ from ..sources import git
 
 
 def candidates(log: DataFrame, since: str, until: str) -> DataFrame:
-    """Commits with their label: ai if signed from `since` on; human if before
-    `until`, unsigned and not by a bot."""
+    """Commits with their label, by the commit date: ai if signed from `since` on;
+    human if before `until`, unsigned and not by a bot."""
     agents = commits.detect_agents(F.col("author"), F.col("committer"), F.col("subject"), F.col("body"))
     marked = log.withColumn("agents", agents).withColumn("mode", commits.mode(F.col("author"), F.col("agents")))
     signed = F.size("agents") > 0
-    ai = signed & (F.to_timestamp("date") >= F.to_timestamp(F.lit(since)))
-    human = ~signed & ~commits.is_excluded_bot(F.col("author"), F.col("committer")) & (F.to_timestamp("date") < F.to_timestamp(F.lit(until)))
+    ai = signed & (F.to_timestamp("committed") >= F.to_timestamp(F.lit(since)))
+    human = ~signed & ~commits.is_excluded_bot(F.col("author"), F.col("committer")) & (F.to_timestamp("committed") < F.to_timestamp(F.lit(until)))
     return marked.withColumn("label", F.when(ai, "ai").when(human, "human")).where("label is not null")
 
 

@@ -14,13 +14,13 @@ from quillstone.plans import classify, corpus, report
 from quillstone.sources import git, logs, snippets
 
 
-def commit(repo, files, date, message="work", author="Ann <ann@x.org>"):
+def commit(repo, files, date, message="work", author="Ann <ann@x.org>", committed=None):
     for name, content in files.items():
         path = repo / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(content if isinstance(content, bytes) else content.encode())
     name, mail = author.rstrip(">").split(" <")
-    env = {**os.environ, "GIT_AUTHOR_NAME": name, "GIT_AUTHOR_EMAIL": mail, "GIT_COMMITTER_NAME": name, "GIT_COMMITTER_EMAIL": mail, "GIT_AUTHOR_DATE": date, "GIT_COMMITTER_DATE": date}
+    env = {**os.environ, "GIT_AUTHOR_NAME": name, "GIT_AUTHOR_EMAIL": mail, "GIT_COMMITTER_NAME": name, "GIT_COMMITTER_EMAIL": mail, "GIT_AUTHOR_DATE": date, "GIT_COMMITTER_DATE": committed or date}
     subprocess.run(["git", "-C", str(repo), "add", "-A"], check=True, env=env)
     subprocess.run(["git", "-C", str(repo), "commit", "-qm", message], check=True, env=env)
 
@@ -52,6 +52,23 @@ def test_log(spark, repo):
     assert list(git.parse_log("junk\x1eonly\x1ftwo")) == []
 
 
+def test_odd_paths_and_two_dates(spark, tmp_path):
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    odd = ["src/é.py", 'a "b".py', ":c.py", "tab\there.py"]
+    commit(tmp_path, {x: "x = 1\n" for x in odd}, "2020-01-05T10:00:00+00:00", "one\n\nbody", committed="2024-02-05T10:00:00+00:00")
+    commit(tmp_path, {"b.py": "y = 2\n"}, "2024-03-05T10:00:00+00:00")
+    rows = git.git_log(spark, [str(tmp_path)]).orderBy("pos").collect()
+    assert sorted(rows[0]["paths"]) == sorted(odd) and rows[0]["body"] == "body" and rows[1]["paths"] == ["b.py"]
+    assert rows[0]["month"] == "2020-01" and rows[0]["committed"].startswith("2024-02-05")
+    log = git.git_log(spark, [str(tmp_path)])
+    # by the commit date no commit is older than 2021
+    assert corpus.candidates(log, "2020-01-01", "2021-01-01").count() == 0 and corpus.candidates(log, "2020-01-01", "2024-03-01").count() == 1
+    assert [r["month"] for r in git.in_range(log, since="2024-01-01", until="2024-03-01").collect()] == ["2020-01"]
+    shown = git.git_show(log.select("repo", "sha", "paths"))
+    files = classify.changed_files(shown.where("error is null")).collect()
+    assert {r["path"] for r in files} == {*odd, "b.py"}
+
+
 def test_classify_and_errors(spark, repo):
     log = git.git_log(spark, [repo]).select("repo", "sha", "month")
     shown = git.git_show(log.union(spark.createDataFrame([(repo, "0" * 40, "2024-01")], log.schema)))
