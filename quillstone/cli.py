@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config
+from .constants import FEATURES
+from .functions.text_features import with_features
 from .session import session
 
 
@@ -20,6 +22,29 @@ def _head(path: str):
         return mlp.Head.from_json(f.read())
 
 
+def _scorer(spark: SparkSession, a, cfg: dict):
+    """(scorer, id): the head, and the second stage where --stage2 names one that
+    was made for it. The id names both, as results of either may be cached."""
+    from .plans import second_stage, train
+
+    head = _head(a.model)
+    digest = second_stage.head_digest(head, spark)
+    loaded = second_stage.load(spark, a.stage2, cfg["classes"]["names"], digest) if a.stage2 else None
+    return second_stage.scorer(train.scorer(head), loaded), digest + ("+" + os.path.basename(a.stage2.rstrip("/")) if loaded else "")
+
+
+def train_stage2(spark: SparkSession, a, cfg: dict) -> None:
+    from .plans import second_stage, train
+
+    head = _head(a.model)
+    rows, vectors = spark.read.parquet(a.rows), spark.read.parquet(a.vectors)
+    languages = a.languages.split(",") if a.languages else None
+    model, _ = second_stage.train(rows.where("split = 'train'"), rows.where("split = 'validation'"), spark.read.parquet(a.corpus), vectors, head)
+    second_stage.save(model, a.out, list(FEATURES), languages, second_stage.head_digest(head, spark), spark)
+    test = with_features(train.predictions(rows.where("split = 'test'"), vectors, head))
+    second_stage.before_and_after(test, model, list(FEATURES), languages).show(100, truncate=False)
+
+
 def prepare(spark: SparkSession, a, cfg: dict) -> None:
     from .operators import prepare as ops
 
@@ -59,22 +84,23 @@ def evaluate(spark: SparkSession, a, cfg: dict) -> None:
 
 
 def classify_commit(spark: SparkSession, a, cfg: dict) -> None:
-    from .plans import classify, train
+    from .plans import classify
     from .sources import git
 
     shown = git.git_show(spark.createDataFrame([(a.repo, a.sha)], "repo string, sha string"))
-    files, commits = classify.classify(shown, train.scorer(_head(a.model)), cfg["classes"]["names"], cfg["commit_classification"]["max_files_per_commit"])
+    files, commits = classify.classify(shown, _scorer(spark, a, cfg)[0], cfg["classes"]["names"], cfg["commit_classification"]["max_files_per_commit"])
     files.drop("code").show(100, truncate=False)
     commits.show(truncate=False)
 
 
 def evaluate_repo(spark: SparkSession, a, cfg: dict) -> None:
-    from .plans import known_repos, train
+    from .plans import known_repos
 
+    score = _scorer(spark, a, cfg)[0]
     repos = cfg["known_repos"] if a.all else [{"name": a.repo, "path": a.repo, "expected_class": a.expected}]
     for r in repos:
         try:  # one failing repository doesn't stop the rest
-            _, result, languages = known_repos.evaluate(spark, r["path"], r["expected_class"], train.scorer(_head(a.model)), a.samples, cfg["classes"]["names"], cfg["classes"]["remap"], r.get("since"), r.get("until"))
+            _, result, languages = known_repos.evaluate(spark, r["path"], r["expected_class"], score, a.samples, cfg["classes"]["names"], cfg["classes"]["remap"], r.get("since"), r.get("until"))
             result.show(truncate=False)
             languages.show(truncate=False)
             known_repos.log_result(result, r["name"], r["expected_class"], a.log)
@@ -84,11 +110,10 @@ def evaluate_repo(spark: SparkSession, a, cfg: dict) -> None:
 
 def report(spark: SparkSession, a, cfg: dict) -> None:
     from .plans import report as plan
-    from .plans import train
 
     names = cfg["classes"]["names"]
-    digest = spark.range(1).select(F.substring(F.sha2(F.lit(_head(a.model).to_json()), 256), 1, 12)).first()[0]
-    rows = plan.update(spark, a.repo, a.cache, digest, train.scorer(_head(a.model)), names, a.max_commits, a.since, a.until)
+    score, digest = _scorer(spark, a, cfg)
+    rows = plan.update(spark, a.repo, a.cache, digest, score, names, a.max_commits, a.since, a.until)
     data = plan.report(rows, a.repo, digest, names)
     out = a.out or f"{data['repo']}-authorship-timeline.html"
     with open(out, "w", encoding="utf-8") as f:
@@ -129,9 +154,10 @@ COMMANDS: dict[str, tuple[Callable, list[tuple[str, dict]]]] = {
     "embed": (embed, [("rows", {}), ("out", {}), ("--representation", {"default": "hashed-256"})]),
     "train": (train, [("rows", {}), ("vectors", {}), ("model", {}), ("--representation", {"default": "hashed-256"})]),
     "evaluate": (evaluate, [("rows", {}), ("vectors", {}), ("model", {})]),
-    "classify-commit": (classify_commit, [("repo", {}), ("sha", {}), ("--model", {"required": True})]),
-    "evaluate-repo": (evaluate_repo, [("--repo", {}), ("--expected", {}), ("--all", {"action": "store_true"}), ("--samples", {"type": int, "default": 50}), ("--model", {"required": True}), ("--log", {"default": "known_repo_results"})]),
-    "report": (report, [("repo", {}), ("--model", {"required": True}), ("--cache", {"default": "timeline_cache"}), ("--out", {}), ("--max-commits", {"type": int}), ("--since", {}), ("--until", {})]),
+    "train-stage2": (train_stage2, [("rows", {}), ("vectors", {}), ("corpus", {}), ("model", {}), ("out", {}), ("--languages", {})]),
+    "classify-commit": (classify_commit, [("repo", {}), ("sha", {}), ("--model", {"required": True}), ("--stage2", {})]),
+    "evaluate-repo": (evaluate_repo, [("--repo", {}), ("--expected", {}), ("--all", {"action": "store_true"}), ("--samples", {"type": int, "default": 50}), ("--model", {"required": True}), ("--stage2", {}), ("--log", {"default": "known_repo_results"})]),
+    "report": (report, [("repo", {}), ("--model", {"required": True}), ("--stage2", {}), ("--cache", {"default": "timeline_cache"}), ("--out", {}), ("--max-commits", {"type": int}), ("--since", {}), ("--until", {})]),
     "build-corpus": (build_corpus, [("language", {}), ("out", {}), ("repos", {"nargs": "+"})]),
     "audit": (audit, [("rows", {}), ("--n", {"type": int, "default": 15})]),
     "monitor": (monitor, [("--log", {"default": "known_repo_results"})]),

@@ -34,14 +34,18 @@ def group_folds(sizes: dict[str, int], folds: int = 5) -> dict[str, int]:
     return out
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, groups: Sequence[str], names: Sequence[str], folds: int = 5, **options) -> np.ndarray:
-    """P(last class) of each row from a head that saw no row of its group."""
+def out_of_fold(x: np.ndarray, y: np.ndarray, groups: Sequence[str], x_val: np.ndarray, y_val: np.ndarray, names: Sequence[str], folds: int = 5, **options) -> np.ndarray:
+    """P(last class) of each row from a head that saw no row of its group. Each
+    head is stopped on the validation rows, which are none of these."""
     size = {g: int((np.asarray(groups) == g).sum()) for g in set(groups)}
-    fold = np.array([group_folds(size, folds)[g] for g in groups])
+    placed = group_folds(size, folds)
+    fold = np.array([placed[g] for g in groups])
     out = np.full(len(y), np.nan)
     for k in np.unique(fold):
         seen = fold != k
-        head = mlp.train(x[seen], y[seen], x[seen], y[seen], names, **options)
+        if not seen.any():
+            raise ValueError("out-of-fold scores need two groups at least")
+        head = mlp.train(x[seen], y[seen], x_val, y_val, names, **options)
         out[~seen] = head.probabilities(x[~seen])[:, -1]
     return out
 
@@ -58,11 +62,15 @@ def fit(rows: DataFrame, features: Sequence[str] = tuple(FEATURES), iterations:
 
 
 def apply(rows: DataFrame, model, features: Sequence[str] = tuple(FEATURES), languages: Sequence[str] | None = None) -> DataFrame:
-    """rows with p_ai replaced by the second stage's, in the given languages."""
+    """rows with p_ai, and p_human with it, replaced by the second stage's, in the
+    given languages."""
     laid = VectorAssembler(inputCols=["logit", *features], outputCol="features", handleInvalid="keep").transform(rows.withColumn("logit", logit(F.col("p_ai"))))
     scored = model.transform(laid).withColumn("__p", vector_to_array("probability")[1])
     kept = F.col("__p") if languages is None else F.when(F.col("language").isin(list(languages)), F.col("__p")).otherwise(F.col("p_ai"))
-    return scored.withColumn("p_ai", kept).select(*rows.columns)
+    scored = scored.withColumn("p_ai", kept)
+    if "p_human" in rows.columns:
+        scored = scored.withColumn("p_human", 1 - F.col("p_ai"))
+    return scored.select(*rows.columns)
 
 
 def active(class_names: Sequence[str], model_digest: str | None, current_digest: str) -> bool:

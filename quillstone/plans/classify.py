@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CLASS_NAMES, MAX_FILES_SCORED
 from ..operators import diff, scoring
+from ..scratch import materialize
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -23,9 +24,10 @@ def classify(diffs: DataFrame, score: Scorer, names: Sequence[str] = tuple(CLASS
     """(files, commits). Files over the cap, by changed lines, aren't scored; score
     adds p_<class> to rows(code, language). Commits without a scorable file aren't
     in the second table. commits: <key>, aggregate p_<class>, predicted, languages
-    (class by language), n_over."""
+    (class by language), n_over. Scored files are written once, as each of the
+    aggregates reads them."""
     files = scoring.top_files(changed_files(diffs, key), [F.col("changed").desc(), "file_no"], cap, key)
-    files = score(files.withColumnRenamed("text", "code")).withColumnRenamed("changed", "lines_changed")
+    files = materialize(score(files.withColumnRenamed("text", "code")).withColumnRenamed("changed", "lines_changed"), "files")
     whole = scoring.aggregate_commits(files, names, (key,))
     each = scoring.aggregate_commits(files, names, (key, "language")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("language", "predicted"))).alias("languages"))
     over = files.groupBy(key).agg(F.max("n_over").alias("n_over"))

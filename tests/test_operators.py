@@ -135,3 +135,24 @@ def test_pairs_query_takes_whole_tables(spark, tmp_path):
                 want.add((repo, rank, ai[i][0], human[j][0]))
     assert len(sides["1", True]) > CORPUS["rows_per_class_per_repo"]
     assert {tuple(r) for r in queries.size_matched_pairs(spark, str(tmp_path)).collect()} == want
+
+
+def test_first_rows_and_samples_of_groups(spark):
+    from pyspark.sql import functions as F
+
+    from quillstone.operators import sampling
+
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 20, "b").when(F.col("id") % 7 == 1, None).otherwise("c").alias("g")).repartition(9)
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: -r["id"]):
+        want.setdefault(r["g"], []).append(r["id"])
+    got = sampling.first_n(rows, ["g"], [F.col("id").desc()], 30)
+    assert got.columns == ["id", "g"] and sorted((str(r["g"]), r["id"]) for r in got.collect()) == sorted((str(g), i) for g, ids in want.items() for i in ids[:30])
+    key = F.xxhash64("id")
+    order = {r["id"]: (r["late"], r["k"] % (1 << 53), r["k"]) for r in rows.select("id", key.alias("k"), (F.col("id") % 2 == 0).alias("late")).collect()}
+    found = sampling.collect_sample(rows.union(rows), "g", 25, key, F.col("id") % 2 == 0)
+    for g, ids in want.items():
+        own = [r["id"] for r in found if r["g"] == g]
+        assert own == ([] if g is None else sorted(ids, key=order.__getitem__)[:25])
+    assert {r["g"] for r in sampling.collect_sample(rows, "g", 5, key, groups=1)} == {"c"}
+    assert sampling.collect_sample(rows.limit(0), "g", 5, key) == []
