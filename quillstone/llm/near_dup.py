@@ -39,7 +39,7 @@ BRANCHES = 8
 #: five standard deviations below what a pair at the threshold has.
 LEAST_AGREE = max(1, math.floor(COORDINATES * THRESHOLD - 5 * math.sqrt(COORDINATES * THRESHOLD * (1 - THRESHOLD))))
 #: Rows of signatures, 200 bytes each, that a task looks through, about.
-TASK_ROWS = 20_000
+TASK_ROWS = 5_000
 #: Shingles that one comparison task may hold, about.
 NODE_WEIGHT = 300_000
 DEPTH = 5
@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         wanted = materialize(met.select("id").distinct(), "wanted")
         small = wanted.count() <= BROADCAST_IDS
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
-        found = materialize(_tasks(met, node_weight, F.col("n_shingles"), texts).applyInArrow(compare, "a long, b long"), "links")
+        found = materialize(_tasks(met, node_weight / 4, F.col("n_shingles"), texts).applyInArrow(compare, "a long, b long"), "links")
         merged = materialize(connected_components(found), "merged")
         # what was known moves on with its component, and the rest is new
         moved = known.join(merged.select(F.col("id").alias("comp"), F.col("component").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
