@@ -137,7 +137,7 @@ SELECT doc_id, lang, CASE WHEN k <= floor(least(n, 60) * 0.8::DOUBLE) THEN 'trai
 SELECT doc_id AS pos, label, replace(substr(text, 1, 200), chr(10), '\n') AS snippet FROM d WHERE k <= 15""",
     "repo_row_limit": f"""WITH d AS (SELECT l_returnflag AS repo, l_orderkey AS sha, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
  row_number() OVER (PARTITION BY l_returnflag ORDER BY {_seed('l_orderkey', 42)}, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem) SELECT * EXCLUDE (k) FROM d WHERE k <= 100""",
-    "census_exact_match": """WITH k AS (SELECT text, arg_max(lang, doc_id) AS language FROM documents WHERE doc_id % 2 = 0 GROUP BY text)
+    "census_exact_match": """WITH k AS (SELECT text, arg_max(lang, doc_id) AS language FROM documents  GROUP BY text)
 SELECT doc_id, language FROM documents LEFT JOIN k USING (text)""",
     "language_stats": """WITH d AS (SELECT lang AS language, doc_id % 3 > 0 AS exact, CAST('0x' || substr(sha1(source), 1, 8) AS BIGINT) % 100 AS b FROM documents)
 SELECT CASE WHEN b < 15 THEN 'test' WHEN b < 25 THEN 'validation' ELSE 'train' END AS split, language, count(*) FILTER (exact) AS exact, count(*) FILTER (NOT exact) AS classified, count(*) AS rows FROM d GROUP BY ALL""",
@@ -152,6 +152,23 @@ SELECT event_type, n_runs, event_id, value, CASE WHEN value / 100 >= 0.7 THEN 'g
     "metrics_keep_until": "SELECT event_id, event_id % 50 AS epoch FROM events WHERE event_id % 50 <= 20",
     "diff_post_image": r"""SELECT * FROM (VALUES ('d1', 'foo.py', false, false, E'def foo():\n    return 42\n    # trailing comment\n', 3::BIGINT), ('d2', 'x.sql', false, false, 'keep', 1),
  ('d2', 'i.png', true, true, '', 0), ('d2', 'w.py', true, false, E'a = 1\nb = \'x\ry\'\nc = 2\n', 3)) t("commit", path, is_added, is_binary, text, changed)""",
+    "code_repos": "SELECT sha256(text) AS content_hash, min(source) AS repo FROM documents GROUP BY 1",
+    "embed_todo": """SELECT doc_id, sha256(text) AS content_hash FROM documents d WHERE NOT EXISTS (
+SELECT 1 FROM documents e WHERE e.doc_id IN (SELECT doc_id FROM labels) AND sha256(e.text) = sha256(d.text))""",
+    "prediction_summary": f"""WITH {PRED}, k AS (SELECT label, count(*) FILTER (y_true = label AND y_pred = label) AS tp, count(*) FILTER (y_pred = label) AS n_pred, count(*) FILTER (y_true = label) AS support
+ FROM p, (VALUES (0), (1), (2)) v(label) GROUP BY label), r AS ({REPORT} FROM k),
+g AS (SELECT avg(f1) AS m, sum(f1 * support) / sum(support) AS w FROM r WHERE support > 0 OR f1 > 0 OR precision > 0), b AS (SELECT count(*) AS n, avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0 END) AS a FROM p)
+SELECT n, round(a, 9) AS accuracy, round(m, 9) AS macro_f1, round(w, 9) AS weighted_f1 FROM b, g""",
+    "split_summary": """WITH d AS (SELECT source, CAST('0x' || substr(sha1(source), 1, 8) AS BIGINT) % 100 AS b, coalesce(lang, 'none') AS language, quality, toxic FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT *, CASE WHEN b < 15 THEN 'test' WHEN b < 25 THEN 'validation' ELSE 'train' END AS split FROM d)
+SELECT split, language, count(DISTINCT source) AS repos, count(*) FILTER (quality = 1) AS human, count(*) FILTER (quality IS DISTINCT FROM 1) AS ai, count(*) FILTER (toxic = 1) AS react FROM s GROUP BY GROUPING SETS ((split), (split, language))""",
+    "first_per_language": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 300",
+    "scored_languages": """WITH d AS (SELECT doc_id, 'src.d/f' || doc_id || ['.py', '.tsx', '.MJS', '.html', '', '.py.txt', '.ts'][doc_id % 7 + 1] AS path FROM documents)
+SELECT doc_id, path, CASE doc_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'javascript' WHEN 6 THEN 'typescript' END AS language FROM d""",
+    "reusable_results": "SELECT o_orderkey, o_orderstatus = 'O' OR (o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderkey % 2 = 0) AS reused FROM orders",
+    "active_repos": """WITH i AS (SELECT source AS repo, lang AS language, count(*) AS agent_attributed_commits FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY agent_attributed_commits DESC, repo) AS r FROM i WHERE agent_attributed_commits >= CASE language WHEN 'en' THEN 4 WHEN 'de' THEN 3 WHEN 'fr' THEN 2 END)
+SELECT repo, language, agent_attributed_commits FROM k WHERE r <= 6""",
     "stream_metrics": "SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1",
 }
 

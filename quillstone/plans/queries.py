@@ -289,7 +289,7 @@ def repo_row_limit(spark, sf_dir):
 
 def census_exact_match(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    known = docs.where("doc_id % 2 = 0").select(F.col("text").alias("code"), F.col("lang").alias("language"), F.col("doc_id").alias("pos"))
+    known = docs.select(F.col("text").alias("code"), F.col("lang").alias("language"), F.col("doc_id").alias("pos"))
     return languages.exact_match(docs.select("doc_id", F.col("text").alias("code")), known).select("doc_id", "language")
 
 
@@ -309,11 +309,13 @@ def precision_check(spark, sf_dir):
 
 
 def _training(spark, sf_dir, limit: int = 2000):
-    """A bounded training set on the driver: the first rows by id."""
+    """A bounded training set on the driver: a hashed sample of either class."""
     import numpy as np
 
-    rows = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null").orderBy("vec_id").limit(limit).collect()
-    return np.array([r["embedding"] for r in rows]), np.array([r["label"] % 2 for r in rows])
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null").select("vec_id", "embedding", (F.col("label") % 2).alias("y"))
+    rows = sampling.collect_sample(rows, "y", limit // 2, F.xxhash64("vec_id"))
+    rows.sort(key=lambda r: r["__key"])
+    return np.array([r["embedding"] for r in rows]), np.array([r["y"] for r in rows])
 
 
 def _head(spark, sf_dir):
@@ -381,8 +383,57 @@ def stream_metrics(spark, sf_dir):
     return latest_by_name(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema, "event_type", "value")
 
 
+def code_repos(spark, sf_dir):
+    from .second_stage import code_repos as lookup
+
+    return lookup(table(spark, sf_dir, "documents").select(F.col("text").alias("code"), F.col("source").alias("repo")))
+
+
+def embed_todo(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("code"))
+    done = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select(embed.content_key(F.col("code")).alias("content_hash"), F.lit("hashed-256").alias("representation"))
+    return embed.missing(docs, done, "hashed-256").select("doc_id", "content_hash")
+
+
+def prediction_summary(spark, sf_dir):
+    out = metrics.summary(_predicted(spark, sf_dir), [0, 1, 2], present_only=True)
+    return out.select("n", *[_r(F.col(c), c, 9) for c in ("accuracy", "macro_f1", "weighted_f1")])
+
+
+def split_summary(spark, sf_dir):
+    from .corpus import summary
+
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return summary(docs.select(F.col("source").alias("repo"), sampling.split_of(F.col("source")).alias("split"), F.coalesce("lang", F.lit("none")).alias("language"), F.when(F.col("quality") == 1, "human").otherwise("ai").alias("label"), (F.col("toxic") == 1).alias("react")))
+
+
+def first_per_language(spark, sf_dir):
+    return sampling.first_n(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], ["doc_id"], 300)
+
+
+NAMES_OF_FILES = [".py", ".tsx", ".MJS", ".html", "", ".py.txt", ".ts"]
+
+
+def scored_languages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src.d/f"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, NAMES_OF_FILES)), (F.col("doc_id") % len(NAMES_OF_FILES)).cast("int") + 1)).alias("path"))
+    return docs.select("doc_id", "path", scoring.scored_language(F.col("path")).alias("language"))
+
+
+def reusable_results(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", commits.reusable(F.col("o_orderstatus"), F.lit("O"), F.col("o_orderpriority"), F.col("o_orderkey") % 2 == 0, ["1-URGENT", "5-LOW"]).alias("reused"))
+
+
+def active_repos(spark, sf_dir):
+    from ..sources.snippets import select_repos
+
+    index = table(spark, sf_dir, "documents").where("lang is not null and source is not null").groupBy(F.col("source").alias("repo"), F.col("lang").alias("language")).agg(F.count("*").alias("agent_attributed_commits"))
+    return select_repos(index, {"en": 4, "de": 3, "fr": 2}, 6)
+
+
 def queries() -> dict:
     names = [
+        "code_repos", "embed_todo", "prediction_summary", "split_summary", "first_per_language", "scored_languages", "reusable_results", "active_repos",
         "commit_weighted_aggregate", "commit_language_aggregate", "topk_files_per_commit", "timeline_monthly", "timeline_by_language", "timeline_language_totals",
         "timeline_percent", "timeline_cache_todo", "evenly_spaced_commits", "prepare_dedup", "prepare_uncapped", "prepare_class_cap", "prepare_balanced", "prepare_counts", "prepare_shortfall",
         "language_filter", "repo_split", "repo_share_cap", "size_matched_pairs", "agent_signatures", "bot_filter", "path_filter", "license_filter",
