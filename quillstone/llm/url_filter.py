@@ -24,6 +24,9 @@ RULES = [
 ]
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
+#: Unwanted labelled urls that a rule needs: of some 2000 frequent sets, with a quarter
+#: of the labels unwanted, about ten reach the confidence by chance with five.
+LEAST_ROWS = 20
 BLOCK_ITEM = "label=block"
 #: Mined rules are broadcast up to this many index rows, and shuffled beyond.
 BROADCAST_ROWS = 200_000
@@ -73,8 +76,8 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     n = baskets.count()
     if not n:
         return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    # support in rows: never below five, or chance sets pass
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min(1.0, 5 / n)), minConfidence=min_confidence).fit(baskets)
+    # support in rows: never below LEAST_ROWS, or chance sets pass
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min(1.0, LEAST_ROWS / n)), minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BLOCK_ITEM))
     found = materialize(found.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
     # a redundant rule shares a token with the part that makes it so
