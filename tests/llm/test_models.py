@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -79,54 +80,62 @@ def test_languages_held_out(corpus, docs):
 
 
 # ---------------------------------------------------------------------- quality
-def kneser_ney(counts, gram):
-    """Interpolated modified Kneser-Ney by definition, over byte tuples."""
-    levels = {quality.ORDER: counts}
-    for o in range(quality.ORDER - 1, 0, -1):
-        levels[o] = Counter(g[1:] for g in levels[o + 1])
-
-    def p(g):
-        if not g:
-            return 1 / 256
-        table = levels[len(g)]
-        follow = {x: n for x, n in table.items() if x[:-1] == g[:-1]}
-        if not follow:
-            return p(g[1:])
+def kneser_ney(counts):
+    """Interpolated modified Kneser-Ney over word pairs by definition: p(v, w)."""
+    more = Counter(w for _, w in counts)
+
+    def cuts(table):
         n = Counter(table.values())
-        if n[1] and n[2]:
-            y = n[1] / (n[1] + 2 * n[2])
-            d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
-            d = [min(max(v, 0.05), i + 0.95) for i, v in enumerate(d)]
-        else:
-            d = [0.5] * 3
-        cut = lambda c: d[min(c, 3) - 1]
+        if not n[1] or not n[2]:
+            return lambda c: 0.5
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        d = [min(max(v, 0.05), i + 0.95) for i, v in enumerate(d)]
+        return lambda c: d[min(c, 3) - 1]
+
+    long, short = cuts(counts), cuts(more)
+
+    def below(w):
+        total = sum(more.values())
+        own = more[w] - short(more[w]) if w in more else 0
+        return own / total + sum(short(c) for c in more.values()) / total / (len(more) + 1)
+
+    def p(v, w):
+        follow = {x: n for (u, x), n in counts.items() if u == v}
+        if not follow:
+            return below(w)
         total = sum(follow.values())
-        own = follow[g] - cut(follow[g]) if g in follow else 0
-        return own / total + sum(cut(c) for c in follow.values()) / total * p(g[1:])
+        own = follow[w] - long(follow[w]) if w in follow else 0
+        return own / total + sum(long(c) for c in follow.values()) / total * below(w)
 
-    return p(gram)
+    return p
 
 
-@pytest.mark.parametrize("shard_rows", [10**6, 40])
-def test_perplexity_matches_the_definition(docs, spark, shard_rows):
-    trusted = ["the thing and the", "and here the thing", "there the"]
-    other = ["the and", "zzz qqq", ""]
+@pytest.mark.parametrize("broadcast_terms", [10**6, 3, 0])
+def test_perplexity_matches_the_definition(docs, spark, monkeypatch, broadcast_terms):
+    monkeypatch.setattr(quality, "GATHER", 7)
+    rng = random.Random(8)
+    trusted = ["the thing and the", "and Here\tthe thing", "there the"] + [prose(rng, "en", rng.randint(1, 30)) for _ in range(20)]
+    other = ["the and", "zzz qqq", "the the the the", "", " \n", None, "zzz " * 70000 + "the thing" + " " * 300000 + "and\u00a0here here"]
     rows = list(enumerate(trusted + other))
-    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
-    split = lambda t: [tuple(([0] * 4 + list(t.encode()))[i : i + 5]) for i in range(len(t.encode()))]
+    labels = spark.createDataFrame([(i, int(i < len(trusted)), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    split = lambda t: ["<"] + [w.lower() for w in re.split("[\x20\x09-\x0d]+", t) if w] + [">"]
     from pyspark.sql import functions as F
 
-    apart = {r[0] for r in spark.range(3).where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(quality.HELD_OUT)) == 0).collect()}
-    counts = Counter(g for i, t in [*enumerate(trusted), (0, trusted[0]), (0, trusted[0])] if i not in apart for g in split(t))
-    found = quality.classify_quality(docs([*rows, rows[0], rows[0]], extra=True), labels, shard_rows=shard_rows).collect()
-    assert sorted(r["doc_id"] for r in found) == [0, 0, 0, 1, 2, 3, 4, 5] and {r["n_bytes"] for r in found if not r["doc_id"]} == {len(trusted[0])}
-    got = {r["doc_id"]: r["perplexity"] for r in found}
-    for i, t in rows:
-        if not t:
-            assert got[i] is None
+    apart = {r[0] for r in spark.range(len(trusted)).where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(quality.HELD_OUT)) == 0).collect()}
+    counts = Counter(g for i, t in [*enumerate(trusted), (0, trusted[0]), (0, trusted[0])] if i not in apart for g in zip(split(t), split(t)[1:]))
+    found = quality.classify_quality(docs([*rows, rows[0], rows[0], (None, "the thing", None)], extra=True), labels, broadcast_terms=broadcast_terms).collect()
+    assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == [0, 0, *range(len(rows))] and {r["n_words"] for r in found if r["doc_id"] == 0} == {4}
+    got, p = {r["doc_id"]: r for r in found}, kneser_ney(counts)
+    for i, t in [*rows, (None, "the thing")]:
+        terms = split(t or "")
+        assert got[i]["n_words"] == len(terms) - 2
+        if len(terms) == 2:
+            assert got[i]["perplexity"] is None
             continue
-        want = math.exp(-sum(math.log(kneser_ney(counts, g)) for g in split(t)) / len(t.encode()))
-        assert got[i] == pytest.approx(want, rel=1e-4)
+        each = Counter(zip(terms, terms[1:]))
+        want = math.exp(-sum(n * math.log(p(*g)) for g, n in each.items()) / (len(terms) - 1))
+        assert got[i]["perplexity"] == pytest.approx(want, rel=1e-6)
 
 
 def test_quality_limits(docs, spark):
