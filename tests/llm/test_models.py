@@ -111,8 +111,8 @@ def kneser_ney(counts):
     return p
 
 
-@pytest.mark.parametrize("broadcast_terms", [10**6, 3, 0])
-def test_perplexity_matches_the_definition(docs, spark, monkeypatch, broadcast_terms):
+@pytest.mark.parametrize("contexts, broadcast_terms", [(256, 10**6), (2, 3), (0, 0)])
+def test_perplexity_matches_the_definition(docs, spark, monkeypatch, contexts, broadcast_terms):
     monkeypatch.setattr(quality, "GATHER", 7)
     rng = random.Random(8)
     trusted = ["the thing and the", "and Here\tthe thing", "there the"] + [prose(rng, "en", rng.randint(1, 30)) for _ in range(20)]
@@ -120,11 +120,17 @@ def test_perplexity_matches_the_definition(docs, spark, monkeypatch, broadcast_t
     rows = list(enumerate(trusted + other))
     labels = spark.createDataFrame([(i, int(i < len(trusted)), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
     split = lambda t: ["<"] + [w.lower() for w in re.split("[\x20\x09-\x0d]+", t) if w] + [">"]
+    pairs = lambda t: [(v if v in own else "*", w) for v, w in zip(split(t), split(t)[1:])]
+    pairs = lambda t: [(v if v in own else "*", w) for v, w in zip(split(t), split(t)[1:])]
     from pyspark.sql import functions as F
 
     apart = {r[0] for r in spark.range(len(trusted)).where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(quality.HELD_OUT)) == 0).collect()}
-    counts = Counter(g for i, t in [*enumerate(trusted), (0, trusted[0]), (0, trusted[0])] if i not in apart for g in zip(split(t), split(t)[1:]))
-    found = quality.classify_quality(docs([*rows, rows[0], rows[0], (None, "the thing", None)], extra=True), labels, broadcast_terms=broadcast_terms).collect()
+    counted = [t for i, t in [*enumerate(trusted), (0, trusted[0]), (0, trusted[0])] if i not in apart]
+    often = Counter(w for t in counted for w in split(t)[1:-1]).most_common()
+    assert len(often) > 2 and often[1][1] > often[2][1]
+    own = {"<", *(w for w, _ in often[:contexts])}
+    counts = Counter(g for t in counted for g in pairs(t))
+    found = quality.classify_quality(docs([*rows, rows[0], rows[0], (None, "the thing", None)], extra=True), labels, contexts=contexts, broadcast_terms=broadcast_terms).collect()
     assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == [0, 0, *range(len(rows))] and {r["n_words"] for r in found if r["doc_id"] == 0} == {4}
     got, p = {r["doc_id"]: r for r in found}, kneser_ney(counts)
     for i, t in [*rows, (None, "the thing")]:
@@ -133,7 +139,7 @@ def test_perplexity_matches_the_definition(docs, spark, monkeypatch, broadcast_t
         if len(terms) == 2:
             assert got[i]["perplexity"] is None
             continue
-        each = Counter(zip(terms, terms[1:]))
+        each = Counter(pairs(t))
         want = math.exp(-sum(n * math.log(p(*g)) for g, n in each.items()) / (len(terms) - 1))
         assert got[i]["perplexity"] == pytest.approx(want, rel=1e-6)
 
