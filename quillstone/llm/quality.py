@@ -1,19 +1,18 @@
 """Quality classification by the perplexity of an interpolated modified
-Kneser-Ney model over words and their contexts.
-
-A word's context is the word before it if that is one of the CONTEXTS most frequent
-trusted words, or a text's begin; all other words are one context. So a word has as many
-n-grams as it has such contexts, and the model grows as the vocabulary does, not
-as the text. It counts all trusted text: tasks sum their own counts, which then meet by
-word; nothing but discounts, contexts and back-off weights reaches the driver. A
-document's score is the sum over its words of f(w), the continuation log probability,
-g(v), the log back-off weight of the context, and what the pair's own log
-probability adds to these if the model has the pair. A task looks up the most frequent
-words, of counted number, in a broadcast table, which keeps hot keys out of the join
-that other words go through: their places in a run of rows meet the model by
-the word's 64-bit hash. One trusted document in HELD_OUT isn't counted: a language's
-upper limit is a quantile of the perplexities of these, its lower one, as
-repetition is as poor as noise, of all trusted.
+Kneser-Ney model over word bigrams.
+
+The model counts all pairs of successive words of all trusted text, so it grows with
+the corpus. Pair counts, continuation counts and back-off weights are tables joined on
+words; nothing of them but the discounts reaches the driver. A document's score is the
+sum over its words u of f(u) + g(u), f the continuation log probability of u and g the log
+back-off weight after u, and over its pairs in the model of what their own log
+probability adds to that, so pairs that were never counted need no row. Terms, words and
+pairs, are keyed by 64-bit hashes; two with equal hashes would share a score. A task
+gathers the places of each term in a run of rows, and these meet the model in one join.
+The most frequent terms, of counted number, are broadcast instead, which keeps hot keys
+out of that join. One trusted document in HELD_OUT isn't counted: a language's upper
+limit is a quantile of the perplexities of these, its lower one, as repetition is as
+poor as noise, of all trusted.
 """
 
 from __future__ import annotations
@@ -30,11 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import Texts, Words, constants, discard, materialize, mix64, pieces
 
-#: Words that are a context of their own.
-CONTEXTS = 256
 #: Words and pairs of the model that are broadcast at most, 16 bytes each.
-BROADCAST_TERMS = 1 << 18
-#: Distinct pairs, or occurrences of words, that a task gathers before it hands them on.
+BROADCAST_TERMS = 1 << 20
+#: Distinct pairs, or occurrences of terms, that a task gathers before it hands them on.
 GATHER = 1 << 21
 #: Rows that share one numbering; a place among them takes two bytes.
 RUN_ROWS = 1 << 16
@@ -48,20 +45,28 @@ HELD_OUT = 5
 STEPS = 256
 #: A language with fewer trusted documents takes the limits of all.
 LEAST_TRUSTED = 50
-#: What stands before a text's first word and after its last.
-BEGIN, END = constants(2, 31)
-#: More than there can be contexts: word's index * SPAN + context names a pair.
-SPAN = 1 << 16
+#: What stands before a text's first word and after its last, and for any context
+#: beyond those that a caller names.
+BEGIN, END, OTHER = constants(3, 31)
 
 
-def word_pairs(column: pa.Array, contexts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, v, w): the words of each row of a column in pieces, as hashes w with the
-    number v of their context, in contexts (hashes in order) or, for all others, after
-    these; END follows a row's words. Rows without words have none."""
+def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return ((v << np.uint64(1)) | (v >> np.uint64(63))) ^ w
 
-    def number(v: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(contexts, v), len(contexts) - 1)
-        return np.where(contexts[at] == v, at, len(contexts))
+
+def _pair_key_column(v: str, w: str) -> Column:
+    return F.shiftleft(v, 1).bitwiseOR(F.shiftrightunsigned(v, 63)).bitwiseXOR(F.col(w))
+
+
+def word_pairs(column: pa.Array, contexts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, v, w): the words w of each row of a column in pieces and what stands before
+    each, v, as hashes; BEGIN and END stand around a row's words. Rows without words
+    have none. If contexts (hashes in order) are given, all others are OTHER."""
+
+    def known(v: np.ndarray) -> np.ndarray:
+        if contexts is None:
+            return v
+        return np.where(contexts[np.minimum(np.searchsorted(contexts, v), len(contexts) - 1)] == v, v, OTHER)
 
     last = np.full(len(column), BEGIN)
     for a, _, texts, _ in pieces(column, words=0):
@@ -73,10 +78,10 @@ def word_pairs(column: pa.Array, contexts: np.ndarray) -> Iterator[tuple[np.ndar
         v[1:] = words.hash[:-1]
         v[words.lo[full]] = last[a + full]
         last[a + full] = words.hash[words.hi[full] - 1]
-        yield np.repeat(a + full, (words.hi - words.lo)[full]), number(v), words.hash
+        yield np.repeat(a + full, (words.hi - words.lo)[full]), known(v), words.hash
     full = np.flatnonzero(last != BEGIN)
     if len(full):
-        yield full, number(last[full]), np.full(len(full), END)
+        yield full, known(last[full]), np.full(len(full), END)
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,9 +92,8 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     return v[first], w[first], np.add.reduceat(n[order], first)
 
 
-def count_pairs(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """(v, w, n) over the whole texts of docs, summed within tasks first. A word brings
-    at most a row a context and run of text, and all its rows are in one partition."""
+def count_pairs(docs: DataFrame, contexts: np.ndarray | None = None) -> DataFrame:
+    """(v, w, n) over the whole texts of docs, summed within tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -107,10 +111,10 @@ def count_pairs(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
             yield out(_merged(held))
 
     def out(table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(table[0].astype(np.int32)), pa.array(table[1].view(np.int64)), pa.array(table[2])], ["v", "w", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in table], ["v", "w", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(count, "v int, w long, n long")
-    return found.repartition("w").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(count, "v long, w long, n long")
+    return found.groupBy("v", "w").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, most: int) -> np.ndarray:
@@ -134,96 +138,70 @@ def _spare(d: list[float]) -> Column:
     return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
-def fit(pairs: DataFrame) -> tuple[DataFrame, list[float], float]:
-    """The model of pairs(v, w, n): words(w, seen, f, pairs(v, score)); the log back-off
-    weight of each context; and the natural log probability of an unknown word. f is what
-    a word adds to that, a pair's score what it adds to its context's and word's.
-    Unknown words share one place of the vocabulary, over which the shortest
-    context's spare weight is even."""
-    words = materialize(pairs.groupBy("w").agg(F.collect_list(F.struct("v", "n")).alias("pairs")), "words")
-    each = words.select(F.inline("pairs"))
-    d = _discounts(each)
-    after = {r["v"]: r for r in each.groupBy("v").agg(F.sum("n").alias("total"), F.sum(_spare(d)).alias("spare")).collect()}
-    size = max(after, default=-1) + 1
-    back = [math.log(after[v]["spare"] / after[v]["total"]) if v in after else 0.0 for v in range(size)]
-    total = F.lit([float(after[v]["total"]) if v in after else 1.0 for v in range(size)] or [1.0])
-    types = words.select(F.size("pairs").alias("n"))
-    base = _discounts(types)
-    all_ = types.agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.sum(_spare(base)).alias("spare")).first()
+def fit(pairs: DataFrame) -> tuple[DataFrame, float]:
+    """The model of pairs(v, w, n): term(key, n, score), and the natural log probability
+    of an unknown word. A term's score is what it adds to that of an unknown word,
+    or a pair's to those of its words. Unknown words share one place of the
+    vocabulary, over which the shortest context's spare weight is even."""
+    d = _discounts(pairs)
+    after = pairs.groupBy(F.col("v").alias("key")).agg(F.sum(_spare(d)).alias("spare"), F.sum("n").alias("total"))
+    after = materialize(after, "after")
+    words = materialize(pairs.groupBy(F.col("w").alias("key")).agg(F.count("*").alias("n"), F.sum("n").alias("seen")), "words")
+    base = _discounts(words)
+    all_ = words.agg(F.count("*").alias("types"), F.sum("n").alias("n"), F.sum(_spare(base)).alias("spare")).first()
     even = (all_["spare"] / all_["n"] if all_["n"] else 1.0) / (all_["types"] + 1)
     unknown = math.log(even)
-    known = words.withColumn("n", F.size("pairs")).withColumn("below", (F.col("n") - _spare(base)) / F.lit(float(all_["n"] or 1)) + even)
-
-    def score(pair: Column) -> Column:
-        n, at = pair["n"], pair["v"] + 1
-        own = n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        lower = F.exp(F.element_at(F.lit(back or [0.0]), at)) * F.col("below")
-        return F.struct(pair["v"].alias("v"), F.ln(own / F.element_at(total, at) / lower + 1).alias("score"))
-
-    seen = F.aggregate("pairs", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    model = materialize(known.select("w", seen.alias("seen"), (F.ln("below") - unknown).alias("f"), F.transform("pairs", score).alias("pairs")), "model")
-    discard(words)
-    return model, back, unknown
-
-
-def _flat(f: pa.Array, pairs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """f, and the names (place of the word * SPAN + context), in order, and scores of all pairs."""
-    owner = np.repeat(np.arange(len(pairs)), np.asarray(pc.list_value_length(pairs).fill_null(0)))
-    inner = pairs.flatten()
-    name = owner * SPAN + np.asarray(inner.field("v"))
-    order = np.argsort(name)
-    return np.asarray(f), name[order], np.asarray(inner.field("score"))[order]
-
-
-def _add(table: tuple[np.ndarray, np.ndarray, np.ndarray], word: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """What words, by place in the table, add in their contexts v."""
-    f, name, score = table
-    wanted = word * SPAN + v
-    at = np.minimum(np.searchsorted(name, wanted), len(name) - 1)
-    return f[word] + np.where(name[at] == wanted, score[at], 0.0)
-
-
-def frequent_terms(model: DataFrame, most: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], int]:
-    """The words that occur 2^k times or more, in order, their part of the model, and
-    2^k: the least k that leaves at most `most` words and pairs."""
-    sizes = model.groupBy(F.floor(F.log2("seen")).cast("int").alias("k")).agg(F.sum(F.size("pairs") + 1).alias("size")).collect()
+    known = words.select("key", ((F.col("n") - _spare(base)) / F.lit(float(all_["n"] or 1)) + even).alias("below"), "seen")
+    back = F.coalesce(F.ln(F.col("spare") / F.col("total")), F.lit(0.0))
+    single = known.join(after, "key", "full").select("key", F.coalesce("seen", "total").alias("n"), (F.coalesce(F.ln("below") - unknown, F.lit(0.0)) + back).alias("score"))
+    both = pairs.join(after.select(F.col("key").alias("v"), "spare"), "v").join(known.select(F.col("key").alias("w"), "below"), "w")
+    double = both.select(_pair_key_column("v", "w").alias("key"), "n", F.ln((F.col("n") - _spare(d)) / F.col("spare") / F.col("below") + 1).alias("score"))
+    model = materialize(single.union(double), "model")
+    discard(after, words)
+    return model, unknown
+
+
+def frequent_terms(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys, in order, and scores of the terms that occur 2^k times or more, and 2^k:
+    the least k that leaves at most `most` of them."""
+    sizes = model.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect()
     left, k = 0, 62
     for r in sorted(sizes, key=lambda r: -r["k"]):
-        left += r["size"]
+        left += r["count"]
         if left > most:
             break
         k = r["k"]
-    got = model.where(F.col("seen") >= 1 << k).orderBy("w").select("w", "f", "pairs").toArrow().combine_chunks()
-    w, f, pairs = (x.combine_chunks() for x in got.columns)
-    return np.asarray(w), _flat(f, pairs), 1 << k
+    got = model.where(F.col("n") >= 1 << k).select("key", "score").toArrow()
+    key, score = np.asarray(got.column("key")), np.asarray(got.column("score"))
+    order = np.argsort(key)
+    return key[order], score[order], 1 << k
 
 
 _DOC = pa.struct([("place", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("total", pa.float64())])
 _DOC_SQL = "doc struct<place: long, doc_id: long, lang: string, n: long, total: double>"
 
 
-def sum_scores(docs: DataFrame, contexts: np.ndarray, model: DataFrame, back: list[float], unknown: float, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def sum_scores(docs: DataFrame, contexts: np.ndarray | None, model: DataFrame, unknown: float, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(doc_id, lang, n, total) of each row: predicted words, END included, and summed
     log probabilities of whole texts. docs should be a scan, as rows are numbered by
     task and place."""
     *frequent, often = frequent_terms(model, broadcast_terms)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    weight = np.array(back + [0.0] * (len(contexts) + 1 - len(back)))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = shared.value
+        known, score = shared.value
         run = TaskContext.get().partitionId() << 20
         names = ["run", "key", "places", "doc"]
 
         def postings(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             row, term = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(term, kind="stable")
-            term, row = term[order], row[order]
+            term, row = term[order], row[order].astype("<u2")
             first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
             for i in range(0, len(first), 1 << 17):
                 part = first[i : i + (1 << 17)]
                 end = first[i + (1 << 17)] if i + (1 << 17) < len(first) else len(term)
-                at = ((np.append(part, end) - part[0]) * 4).astype(np.int32)
+                at = ((np.append(part, end) - part[0]) * 2).astype(np.int32)
                 places = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at), pa.py_buffer(row[part[0] : end].tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), run)), pa.array(term[part]), places, pa.nulls(len(part), _DOC)], names)
 
@@ -234,14 +212,15 @@ def sum_scores(docs: DataFrame, contexts: np.ndarray, model: DataFrame, back: li
                 held: list[tuple[np.ndarray, np.ndarray]] = []
                 for row, v, w in word_pairs(batch.column(2), contexts):
                     n += np.bincount(row, minlength=batch.num_rows)
-                    total += np.bincount(row, weight[v], batch.num_rows)
-                    term = w.view(np.int64)
+                    own = (v == BEGIN) | (v == OTHER)  # contexts that are no words
+                    row = np.concatenate((row, row, row[own]))
+                    term = np.concatenate((w, _pair_key(v, w), v[own])).view(np.int64)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, term), len(known) - 1)
                         hit = known[at] == term
-                        total += np.bincount(row[hit], _add(table, at[hit], v[hit]), batch.num_rows)
-                        row, v, term = row[~hit], v[~hit], term[~hit]
-                    held.append(((row + v * RUN_ROWS).astype("<u4"), term))
+                        total += np.bincount(row[hit], score[at[hit]], batch.num_rows)
+                        row, term = row[~hit], term[~hit]
+                    held.append((row, term))
                     if sum(len(x[0]) for x in held) > GATHER:
                         yield from postings(held)
                         held = []
@@ -276,10 +255,10 @@ def sum_scores(docs: DataFrame, contexts: np.ndarray, model: DataFrame, back: li
             if not batch.num_rows:
                 continue
             places = Texts(batch.column(1))
-            sizes = (places.ends - places.starts) // 4
-            place = np.frombuffer(places.data.tobytes(), "<u4").astype(np.int64)
-            rows.append(np.repeat(np.asarray(batch.column(0)), sizes) * RUN_ROWS + place % RUN_ROWS)
-            values.append(_add(_flat(batch.column(3), batch.column(4)), np.repeat(np.arange(len(sizes)), sizes), place // RUN_ROWS))
+            sizes = (places.ends - places.starts) // 2
+            place = np.frombuffer(places.data.tobytes(), "<u2").astype(np.int64)
+            rows.append(np.repeat(np.asarray(batch.column(0)), sizes) * RUN_ROWS + place)
+            values.append(np.repeat(np.asarray(batch.column(3)), sizes))
             held += len(place)
             if held > HELD_ROWS:
                 yield out()
@@ -313,8 +292,8 @@ def sum_scores(docs: DataFrame, contexts: np.ndarray, model: DataFrame, back: li
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the row of a document goes along under a key of its own, so that one evaluation numbers both
     found = given.mapInArrow(terms, f"run long, key long, places binary, {_DOC_SQL}")
-    rest = model.where(F.col("seen") < often).select(F.col("w").alias("key"), "f", "pairs")
-    joined = found.join(rest, "key", "left").where("places is null or f is not null").select("run", "places", "doc", "f", "pairs")
+    rest = model.where(F.col("n") < often).select("key", "score")
+    joined = found.join(rest, "key", "left").where("places is null or score is not null").select("run", "places", "doc", "score")
     parts = joined.mapInArrow(sums, f"run long, places binary, sums binary, {_DOC_SQL}")
     return parts.repartition("run").mapInArrow(finish, "doc_id long, lang string, n long, total double")
 
@@ -345,11 +324,12 @@ def quantiles(scored: DataFrame, low: float, high: float) -> dict[str | None, tu
     return found
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, low: float = LOW, high: float = HIGH, contexts: int = CONTEXTS, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, trusted: Column | None = None, low: float = LOW, high: float = HIGH, contexts: int | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """docs(doc_id, text, lang) judged by a model of the documents that labels mark
     as trusted (by default quality 1): doc_id, lang, n_words, perplexity, low,
     high, kept. low and high are the language's limits of perplexity a word, the
-    end of a text counted as one.
+    end of a text counted as one. Every word is a context of its own; if contexts is
+    given, only so many of the most frequent ones are, and the others are one.
 
     There is a row for each row of docs, repeated ones too. Texts without words
     have a null perplexity and aren't kept; a perplexity on a limit is kept.
@@ -364,9 +344,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame, trusted: Column | None
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     apart = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(HELD_OUT)) == 0
     counted = given.where(~apart).join(chosen, "doc_id", "left_semi")
-    frequent = frequent_words(counted, min(contexts, SPAN // 2))
-    model, back, unknown = fit(count_pairs(counted, frequent))
-    summed = sum_scores(given, frequent, model, back, unknown, broadcast_terms)
+    frequent = None if contexts is None else frequent_words(counted, contexts)
+    pairs = materialize(count_pairs(counted, frequent), "pairs")
+    model, unknown = fit(pairs)
+    discard(pairs)
+    summed = sum_scores(given, frequent, model, unknown, broadcast_terms)
     scored = summed.withColumn("bits", -F.col("total") / F.when(F.col("n") > 0, F.col("n")) / math.log(2))
     scored = materialize(scored.join(ids.withColumn("held_out", apart), "doc_id", "left"), "scored")
     discard(model)

@@ -144,6 +144,28 @@ def test_perplexity_matches_the_definition(docs, spark, monkeypatch, contexts, b
         assert got[i]["perplexity"] == pytest.approx(want, rel=1e-6)
 
 
+def test_every_word_is_a_context(docs, spark):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(600)]
+    rng.shuffle(words)
+    trusted = [" ".join(words[i : i + 40]) for i in range(0, 600, 20)] * 2
+    other = [" ".join(words[100:130]), " ".join(sorted(words[100:130]))]  # known pairs, and the same words in another order
+    rows = list(enumerate(trusted + other))
+    labels = spark.createDataFrame([(i, int(i < len(trusted)), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    from pyspark.sql import functions as F
+
+    apart = {r[0] for r in spark.range(len(trusted)).where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(quality.HELD_OUT)) == 0).collect()}
+    split = lambda t: ["<", *t.split(), ">"]
+    counts = Counter(g for i, t in enumerate(trusted) if i not in apart for g in zip(split(t), split(t)[1:]))
+    assert len({v for v, _ in counts}) > 500
+    p = kneser_ney(counts)
+    for broadcast_terms in (10**6, 50):
+        got = {r["doc_id"]: r for r in quality.classify_quality(docs(rows), labels, broadcast_terms=broadcast_terms).collect()}
+        for i, t in rows:
+            pairs = list(zip(split(t), split(t)[1:]))
+            assert got[i]["perplexity"] == pytest.approx(math.exp(-sum(math.log(p(*g)) for g in pairs) / len(pairs)), rel=1e-6)
+
+
 def test_quality_limits(docs, spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, "en"), "en") for i in range(420)] + [(1200 + i, "".join(rng.choice("qxzj#!9 ") for _ in range(90)), "en") for i in range(10)] + [(1300, None, None)]
