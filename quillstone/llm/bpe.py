@@ -36,6 +36,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 #: Entries of the word cache; a full one is emptied, and it ends with its task.
 CACHE_WORDS = 1 << 18
 #: Words of a text that are looked up at once, and characters of short texts.
@@ -281,4 +283,4 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             load(path).words.clear()
 
     schema = "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), schema)

@@ -3,7 +3,8 @@ and whole-batch text arithmetic on Arrow buffers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialize
+from ..scratch import discard, materialize, small_table
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -30,6 +31,41 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# ---------------------------------------------------------------------- workers
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow. A worker outlives its task and goes from stage to stage; at
+    the end of one, the memory that it has freed goes back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def releasing_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a group of applyInArrow."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 # ------------------------------------------------------------------- components
 def _is_forest_of_stars(edges: DataFrame) -> bool:
     """Whether each u of edges(u, v) has one v, and no v is a u."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sampling import collect_sample
-from .common import Texts, Words, materialize, mix64, pieces
+from .common import Texts, Words, materialize, mix64, pieces, releasing
 from .language_id import sampled_text
 
 BUCKETS = 1 << 15
@@ -159,7 +159,7 @@ def _learn(docs: DataFrame, domain: str, weights, floor: float, total_tokens) ->
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), flat], ["doc_id", "n", "p"])
 
-    table = materialize(given.mapInArrow(run, "doc_id long, n long, p array<double>"), "posteriors")
+    table = materialize(given.mapInArrow(releasing(run), "doc_id long, n long, p array<double>"), "posteriors")
     return fit_mix(table, model, weights, floor, total_tokens), table
 
 
@@ -213,4 +213,4 @@ def mixed(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | Non
             for k in range(0, len(again), REPEATED_ROWS):
                 yield batch.take(pa.array(again[k : k + REPEATED_ROWS]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FOLD, Texts, Words, connected_components, constants, discard, materialize, pieces, shingle_hashes
+from .common import _FOLD, Texts, Words, connected_components, constants, discard, materialize, pieces, releasing, releasing_group, shingle_hashes, small_table
 
 WIDTH = 5
 THRESHOLD = 0.75
@@ -313,15 +313,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     coordinates = max(COORDINATES, sum(tree_rounds(target_recall)) * (BRANCHES + 1))
     docs = docs.select("doc_id", "text")
     schema = "doc_id long, n_shingles long, digest binary, mins array<int>"
-    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures(width, coordinates), schema), "signed")
+    signed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(_signatures(width, coordinates)), schema), "signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     folded = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("mins").alias("mins")), "classes")
     if folded.isEmpty():
         return signed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     # a doc_id with several texts stands for all of them: each is a class of its own
     classes = folded.select("id", "n_shingles", "mins", F.greatest(F.col("n_shingles"), F.lit(64)).alias("w"))
-    known = docs.sparkSession.createDataFrame([], "id long, comp long")
-    compare = _compare(width, percent, LEAST_AGREE)
+    known = small_table(docs.sparkSession, [], "id long, comp long")
+    compare = releasing_group(_compare(width, percent, LEAST_AGREE))
     first = 0
     for turn, trees in enumerate(tree_rounds(target_recall)):
         light, heavy, used = _nodes(classes, known, range(first, first + trees), node_weight, depth)
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         columns = ["key", "id", "comp", "side", "n_shingles", "mins"]
         signs = classes.select("id", "n_shingles", F.slice("mins", 1, COORDINATES).alias("mins"))
         rows = materialize(tasks.join(signs, "id").select(columns), "rows")
-        met = materialize(_tasks(rows, TASK_ROWS * 350, F.lit(350)).applyInArrow(_candidates(percent, LEAST_AGREE), rows.schema), "candidates")
+        met = materialize(_tasks(rows, TASK_ROWS * 350, F.lit(350)).applyInArrow(releasing_group(_candidates(percent, LEAST_AGREE)), rows.schema), "candidates")
         wanted = materialize(met.select("id").distinct(), "wanted")
         small = wanted.count() <= BROADCAST_IDS
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted) if small else wanted, "id", "left_semi")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..operators.sampling import collect_sample
-from .common import Texts, Words, discard, materialize, pieces
+from .common import Texts, Words, discard, materialize, pieces, releasing, small_table
 from .language_id import held_out, sampled_text
 
 BUCKETS = 1 << 15
@@ -174,7 +174,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, each: in
     drawn = collect_sample(_known(labels, usable & ~for_calibration()), "toxic", each + each // 4, F.xxhash64("doc_id"))
     if len({r["toxic"] for r in drawn}) < 2:
         return []
-    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in drawn], "__id long, toxic int")
+    wanted = small_table(docs.sparkSession, [(r["doc_id"], r["toxic"]) for r in drawn], "__id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") > 0)
     rows = rows.join(F.broadcast(wanted), F.col("doc_id") == F.col("__id"))  # 2.5 * FIT_DOCS rows at most
     key = F.xxhash64("doc_id", "text")
@@ -203,7 +203,7 @@ def toxicity_scores(docs: DataFrame, model: Model | None, keep: tuple[str, ...]
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch, 1)), *batch.columns[2:]], ["doc_id", "score", *keep])
 
-    scored = rows.mapInArrow(run, "doc_id long, score double" + kinds)
+    scored = rows.mapInArrow(releasing(run), "doc_id long, score double" + kinds)
     return scored.select("doc_id", "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"), *keep)
 
 
@@ -278,7 +278,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch, at))], [*names, "__score"])
 
-    scored = materialize(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__score", DoubleType())])), "scored")
+    scored = materialize(docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField("__score", DoubleType())])), "scored")
     given = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("__score").alias("score"))
     limits = {k: min(v, PREDICT_AT) for k, v in calibrate(given, labels, usable).items()}
     rest = F.lit(limits.pop(None))

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..scratch import small_table
 from .ranks import sums_before
 
 
@@ -49,7 +50,7 @@ def collect_sample(rows: DataFrame, by: str, n: int, key: Column, late: Column |
         return []
     most = n + 8 * math.sqrt(n) + 32
     limits = [(r[by], min(1.0, most / max(r["a"], 1)), 0.0 if r["a"] >= n else min(1.0, most / max(r["b"], 1))) for r in sizes]
-    table = rows.sparkSession.createDataFrame(limits, f"__by {rows.schema[by].dataType.simpleString()}, __a double, __b double")
+    table = small_table(rows.sparkSession, limits, f"__by {rows.schema[by].dataType.simpleString()}, __a double, __b double")
     near = marked.join(F.broadcast(table), F.col(by) == F.col("__by"))  # a row a group, `groups` at most
     near = near.where(F.pmod("__key", F.lit(span)) / span <= F.when(F.col("__late"), F.col("__b")).otherwise(F.col("__a")))
     found: dict = {}

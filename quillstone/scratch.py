@@ -6,8 +6,12 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 _paths: dict[str, SparkSession] = {}
 
@@ -53,6 +57,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a table. createDataFrame would turn a list of rows
+    into one by Python workers of another kind than SQL's, and these, idle, stay on the
+    executors beside the others; an Arrow table needs none."""
+    fields = StructType.fromDDL(schema).fields
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(fields)]
+    return spark.createDataFrame(pa.table(columns, names=[f.name for f in fields]))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialized frames that nothing will read again."""
     for df in frames:
