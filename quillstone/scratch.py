@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 _paths: dict[str, SparkSession] = {}
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,12 +46,19 @@ def _remove_all() -> None:
         _remove(path)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, drop_shuffles: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage
-    with files that outlive any executor."""
+    with files that outlive any executor. drop_shuffles: those of the write go as it
+    ends, not only when the driver happens to collect what refers to them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstone/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP)
+    try:
+        if drop_shuffles:
+            spark.conf.set(_DROP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP, before)
     _paths[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

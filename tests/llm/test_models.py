@@ -144,7 +144,7 @@ def test_perplexity_matches_the_definition(docs, spark, monkeypatch, contexts, b
         assert got[i]["perplexity"] == pytest.approx(want, rel=1e-6)
 
 
-def test_every_word_is_a_context(docs, spark):
+def test_every_word_is_a_context(docs, spark, monkeypatch):
     rng = random.Random(13)
     words = [f"w{i}" for i in range(600)]
     rng.shuffle(words)
@@ -159,7 +159,9 @@ def test_every_word_is_a_context(docs, spark):
     counts = Counter(g for i, t in enumerate(trusted) if i not in apart for g in zip(split(t), split(t)[1:]))
     assert len({v for v, _ in counts}) > 500
     p = kneser_ney(counts)
-    for broadcast_terms in (10**6, 50):
+    for common, broadcast_terms, bucket_bytes in ((65000, 10**6, 1 << 24), (200, 50, 1000), (0, 0, 1000)):  # where pairs meet makes no difference
+        monkeypatch.setattr(quality, "COMMON", common)
+        monkeypatch.setattr(quality, "BUCKET_BYTES", bucket_bytes)
         got = {r["doc_id"]: r for r in quality.classify_quality(docs(rows), labels, broadcast_terms=broadcast_terms).collect()}
         for i, t in rows:
             pairs = list(zip(split(t), split(t)[1:]))
